@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing
+from . import chat, fingerprints, licenses, mixing, token_files, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op3_chat_format": chat.query,
+    "op5_token_files": token_files.query,
     "op6_license_scan": licenses.query,
+    "op7_toxicity": toxicity.query,
+    "op10_fingerprints": fingerprints.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
