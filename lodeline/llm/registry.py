@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, token_files, toxicity
+from . import chat, fingerprints, jaccard_join, licenses, mixing, token_files, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_ngram_jaccard": jaccard_join.query,
     "op3_chat_format": chat.query,
     "op5_token_files": token_files.query,
     "op6_license_scan": licenses.query,
