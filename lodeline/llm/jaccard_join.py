@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -102,7 +102,7 @@ def prefix_length(n: int) -> int:
 
 def profile(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, node, n) of documents and rows (slot, c0, c1) of each task's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         known, counts = WordHashes(), np.zeros((2, SKETCH), np.int64)
@@ -115,12 +115,12 @@ def profile(docs: DataFrame) -> DataFrame:
                 for row, slot in enumerate(slots(s)):
                     np.add.at(counts[row], slot, 1)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none, none], schema=schema)
         used = np.flatnonzero(counts.any(axis=0))
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(used, pa.int32()), pa.array(counts[0][used]), pa.array(counts[1][used])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(used, pa.int32()), pa.array(counts[0][used]), pa.array(counts[1][used])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, slot int, c0 long, c1 long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, slot int, c0 long, c1 long")
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -319,13 +319,13 @@ def linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, root: str, nam
     return pairs, stored(whole.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"{name}-links", root)
 
 
-def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, node, n_shingles, component_id."""
+def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep_hash: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, node, root (of its component's nodes), n_shingles, component_id; text_hash if kept."""
     spark = docs.sparkSession
     root = scratch_dir(spark)
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     made = stored(profile(docs), "profile", root)
-    members = made.filter("slot is null").select("doc_id", "node", "n")
+    members = made.filter("slot is null").select("doc_id", "text_hash", "node", "n")
     counts = np.zeros((2, SKETCH), np.int64)
     for r in made.filter("slot is not null").groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas().itertuples():  # of fixed size
         counts[:, r.slot] = r.c0, r.c1
@@ -347,10 +347,30 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         _, more = linked(docs, members, across.distinct().join(tried, ["a", "b"], "left_anti"), root, "across")
         if not more.isEmpty():
             found = components(links.unionByName(more))
-    classes = members.join(found, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
+    classes = members.join(found, "node", "left").select("doc_id", "text_hash", "node", "n", F.coalesce("root", "node").alias("root"))
     least = classes.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = classes.join(least, "root", "left")
-    return out.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *["text_hash"] * keep_hash, "node", "root", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: the one of least doc_id, then least text hash. Rows with empty sets stay."""
+    spark = docs.sparkSession
+    names = docs.columns
+    packed = docs.select(F.struct("*").alias("_doc"))
+    rows = packed.select("_doc", F.col(f"_doc.`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"_doc.`{text}`")).alias("_hash"))
+    groups = similar_groups(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash")), keep_hash=True)
+    groups = stored(groups.filter("n_shingles > 0").select("doc_id", "text_hash", "root"), "groups")
+    least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = groups.join(least, "root").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash") != F.col("first")).alias("other"), F.lit(True).alias("grouped"))
+    fate = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.max("other").alias("other"), F.count("*").alias("copies"))
+    joined = rows.join(fate, rows["_id"].eqNullSafe(fate["_d"]) & (rows["_hash"] == fate["_h"]), "left")
+    kept = joined.filter(F.col("other").isNull() | ~F.col("other"))
+    # Repeated rows of the one that stays: the first of them.
+    several = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    once = kept.filter("copies > 1").withColumn("_n", F.row_number().over(several)).filter("_n = 1")
+    single = kept.filter("copies is null or copies = 1")
+    return single.select("_doc").unionByName(once.select("_doc")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
