@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, jaccard_join, licenses, line_dedup, mixing, pieces, token_files, toxicity
+from . import chat, fingerprints, jaccard_join, licenses, line_dedup, mixing, pieces, search_index, token_files, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_license_scan": licenses.query,
     "op7_toxicity": toxicity.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_bm25_search": search_index.query,
     "op10_fingerprints": fingerprints.query,
 }
 ORACLES = {
