@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables and their SQL equivalents."""
+"""Registered queries over the driver's tables and their SQL equivalents.
+
+``events`` stands for a log: as plain lines, as JSON lines, and as three sources that are merged.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import DISTINCT_CAP, TOP_VALUES
+from ..functions import jsonx, text, timestamps
+from ..operators import export, layout, levels, profile, query, rows, search, timeline
+from ..sources import generate
+from ..sources.lines import lines_of_texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,3 +30,427 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- events as lines -------------------------------------------------------------------------------------------
+
+_WORD = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'view' THEN 'DEBUG' ELSE 'note' END"
+PLAIN_SQL = f"""SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || {_WORD} || ' user=' || user_id || ' event=' || event_type || ' id=' || event_id AS value FROM events"""
+JSON_SQL = """SELECT event_id AS line_no, '{"level":"' || event_type || '","user":' || user_id || ',"id":' || event_id || ',"props":' || coalesce(props, 'null') || '}' AS value FROM events"""
+
+
+def plain_events(spark: SparkSession, d: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    value = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.expr(_WORD), F.lit(" user="), s("user_id"), F.lit(" event="), "event_type", F.lit(" id="), s("event_id"))
+    return table(spark, d, "events").select(F.col("event_id").alias("line_no"), value.alias("value"))
+
+
+def json_events(spark: SparkSession, d: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    value = F.concat(F.lit('{"level":"'), "event_type", F.lit('","user":'), s("user_id"), F.lit(',"id":'), s("event_id"), F.lit(',"props":'), F.coalesce("props", F.lit("null")), F.lit("}"))
+    return table(spark, d, "events").select(F.col("event_id").alias("line_no"), value.alias("value"))
+
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def filtered_events(spark: SparkSession, d: str, q: str) -> DataFrame:
+    """Rows of the table itself that a query holds for: fields are its columns."""
+    df = table(spark, d, "events")
+    clauses = query.normalise(query.parse_query(q), EVENT_COLUMNS)
+    line = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), "props")
+    return df.filter(query.compile_query(clauses, line, query.table_fields(df)))
+
+
+def _level_sql(source: str, holds: str) -> str:
+    """Six levels of ``source`` (rows x); ``holds`` formats a condition for a word."""
+    case = "CASE " + " ".join(f"WHEN {' OR '.join(holds.format(w) for w in words)} THEN '{name}'" for name, words in levels.WORDS) + " ELSE 'OTHER' END"
+    names = " UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS level" for i, n in enumerate(levels.LEVELS))
+    return f"""WITH x AS ({source}), c AS (SELECT {case} AS level, count(*) AS n FROM x GROUP BY 1), l AS ({names}),
+j AS (SELECT ord, l.level, CAST(coalesce(n, 0) AS BIGINT) AS n, max(coalesce(n, 0)) OVER () AS top FROM l LEFT JOIN c USING (level))
+SELECT CAST(ord AS INTEGER) AS ord, level, n, round(CASE WHEN n = 0 THEN 0.0 WHEN n >= top THEN 1.0 ELSE log10(1 + n) / log10(1 + top) END, 9)::DOUBLE AS bar_fraction"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("bar_fraction", F.round("bar_fraction", 9))
+
+
+@register("flagship_filter_levels", _level_sql("SELECT * FROM events WHERE user_id >= 50 AND lower(event_type) LIKE '%r%'", "starts_with(upper(event_type), '{0}')") + " FROM j")
+def flagship(spark, d):
+    """Filter, then count levels of what is left."""
+    part = filtered_events(spark, d, "USER_ID>=50").filter(text.contains_ci(F.col("event_type"), "R"))
+    return _rounded(levels.count_levels(part, levels.field_level(F.col("event_type")))).select("ord", "level", "n", "bar_fraction")
+
+
+# --- filter language -------------------------------------------------------------------------------------------
+
+for _name, _q, _where in (
+    ("fl_eq", "event_type=ERROR", "lower(event_type) = 'error'"),
+    ("fl_prefix", "Event_Type=PUR*", "starts_with(lower(event_type), 'pur')"),
+    ("fl_greater", "value>50", "value > 50"),
+    ("fl_at_least", "user_id>=100", "user_id >= 100"),
+    ("fl_less", "value<12.5", "value < 12.5"),
+    ("fl_at_most", "user_id<=7", "user_id <= 7"),
+    ("fl_dotted", "props.k>=50", "CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50"),
+    ("fl_bare", "CLICK", "contains(lower(event_type || ' ' || user_id || ' ' || coalesce(props, '')), 'click')"),
+    ("fl_and", "event_type=error user_id<75 value>=10 props.k<90", "event_type = 'error' AND user_id < 75 AND value >= 10 AND CAST(json_extract_string(props, '$.k') AS DOUBLE) < 90"),
+    ("fl_unknown_key", "nothing=1", "false"),
+):
+    register(_name, f"SELECT event_id, event_type, user_id FROM events WHERE {_where}")(lambda spark, d, q=_q: filtered_events(spark, d, q).select("event_id", "event_type", "user_id"))
+
+
+@register("fl_json_lines", f"WITH x AS ({JSON_SQL}) SELECT line_no FROM x WHERE json_extract_string(value, '$.level') = 'error' AND CAST(json_extract_string(value, '$.user') AS BIGINT) < 40")
+def fl_json_lines(spark, d):
+    """Strict parsing of JSON lines behind a literal test for the key."""
+    return query.run_filter(json_events(spark, d), "LEVEL=error user<40", ["level", "user", "id", "props"]).select("line_no")
+
+
+@register("fl_json_native", f"WITH x AS ({JSON_SQL}) SELECT line_no FROM x WHERE starts_with(json_extract_string(value, '$.level'), 'p')")
+def fl_json_native(spark, d):
+    return query.run_filter(json_events(spark, d), "level=P*", ["level"], exact=False).select("line_no")
+
+
+@register("fl_from_line", f"WITH x AS ({PLAIN_SQL}) SELECT line_no FROM x WHERE line_no >= 500 AND contains(value, 'ERROR')")
+def fl_from_line(spark, d):
+    return query.run_filter(plain_events(spark, d), "error", from_line=500).filter(F.contains("value", F.lit("ERROR"))).select("line_no")
+
+
+@register("fl_bucket_equals_filter", "SELECT 'ERROR' AS level, count(*) AS counted, count(*) AS found FROM events WHERE event_type = 'error'")
+def fl_bucket(spark, d):
+    """A level's count and what its clause selects."""
+    df = table(spark, d, "events")
+    clause = levels.level_clauses("event_type")["ERROR"]
+    hit = query.compile_query(query.parse_query(clause), F.lit(""), query.table_fields(df))
+    return df.agg(F.count(F.when(levels.field_level(F.col("event_type")) == "ERROR", 1)).alias("counted"), F.count(F.when(hit, 1)).alias("found")).select(F.lit("ERROR").alias("level"), "counted", "found")
+
+
+@register("fl_visible_columns", "SELECT props, event_id, event_type FROM events")
+def fl_visible(spark, d):
+    view = layout.Layout.of(EVENT_COLUMNS)
+    for c in ("ts", "user_id", "value"):
+        view.hide(c)
+    view.move("props", 0)
+    return view.select(table(spark, d, "events"))
+
+
+# --- search ----------------------------------------------------------------------------------------------------
+
+
+@register("se_lines", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, value FROM x WHERE regexp_matches(value, '(?i)error|id=[0-9]*77')")
+def se_lines(spark, d):
+    return search.search_lines(plain_events(spark, d), "error|id=[0-9]*77")
+
+
+@register("se_totals", "SELECT CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS hit_lines, CAST(sum(n) AS BIGINT) AS total_matches FROM (SELECT len(regexp_extract_all(text, '(?i)the')) AS n FROM documents WHERE text IS NOT NULL)")
+def se_totals(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("value"))
+    return search.totals(docs, search.check_pattern(spark, "the"))
+
+
+@register("se_html", "SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<h1[^>]*>')")
+def se_html(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("line_no"), F.col("html").alias("value"))
+    return search.search_lines(pages, "<h1[^>]*>").select(F.col("line_no").alias("page_id"))
+
+
+@register("se_first_from", f"WITH x AS ({PLAIN_SQL}), h AS (SELECT line_no FROM x WHERE contains(value, 'ERROR')) SELECT coalesce(min(line_no) FILTER (WHERE line_no >= 777), min(line_no)) AS line_no FROM h")
+def se_first(spark, d):
+    return search.first_from(search.search_lines(plain_events(spark, d), "(?-i)ERROR"), 777)
+
+
+@register("se_previous", f"WITH x AS ({PLAIN_SQL}), h AS (SELECT line_no FROM x WHERE contains(value, 'ERROR')) SELECT coalesce(max(line_no) FILTER (WHERE line_no < 500), max(line_no)) AS line_no FROM h")
+def se_previous(spark, d):
+    return search.previous_hit(search.search_lines(plain_events(spark, d), "(?-i)ERROR"), 500)
+
+
+@register("se_position", f"WITH x AS ({PLAIN_SQL}) SELECT count(*) FILTER (WHERE line_no <= 700) AS k, count(*) AS n FROM x WHERE contains(value, 'WARN')")
+def se_position(spark, d):
+    return search.position(search.search_lines(plain_events(spark, d), "(?-i)WARN"), 700)
+
+
+@register("se_highlights", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, CAST(strpos(value, 'user=') - 1 AS INTEGER) AS begin, CAST(strpos(value, 'user=') + 4 AS INTEGER) AS \"end\", 'user=' AS text FROM x WHERE contains(value, 'user=')")
+def se_highlights(spark, d):
+    return search.highlights(plain_events(spark, d), "user=").select("line_no", "begin", "end", "text")
+
+
+# --- levels ----------------------------------------------------------------------------------------------------
+
+
+@register("lv_lines", _level_sql(PLAIN_SQL, "contains(value, '{0}')") + " FROM j")
+def lv_lines(spark, d):
+    return _rounded(levels.count_levels(plain_events(spark, d), levels.line_level(F.col("value")))).select("ord", "level", "n", "bar_fraction")
+
+
+@register("lv_field", _level_sql("SELECT * FROM events", "starts_with(upper(event_type), '{0}')") + ", CASE WHEN level IN ('FATAL', 'ERROR', 'WARN', 'INFO') THEN 'event_type=' || level || '*' END AS clause FROM j")
+def lv_field(spark, d):
+    return _rounded(levels.count_levels(table(spark, d, "events"), levels.field_level(F.col("event_type")), "event_type"))
+
+
+@register("lv_from_line", _level_sql(PLAIN_SQL + " WHERE event_id >= 300", "contains(value, '{0}')") + " FROM j")
+def lv_from(spark, d):
+    return _rounded(levels.count_from(plain_events(spark, d), levels.line_level(F.col("value")), 300)).select("ord", "level", "n", "bar_fraction")
+
+
+@register("lv_documents")
+def lv_documents(spark, d):
+    """Levels of whole texts by their first 200 bytes, which may end within a character."""
+    return levels.count_levels(table(spark, d, "documents"), levels.line_level(F.coalesce("text", F.lit("")))).select("ord", "level", "n")
+
+
+@register("lv_colours", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, CASE WHEN contains(value, 'ERROR') THEN 'error' WHEN contains(value, 'WARN') THEN 'warn' WHEN contains(value, 'DEBUG') THEN 'trace' ELSE 'default' END AS colour FROM x")
+def lv_colours(spark, d):
+    return plain_events(spark, d).select("line_no", levels.line_colour(F.col("value")).alias("colour"))
+
+
+@register("lv_status", "SELECT o_orderkey, CASE substr(CAST(o_orderkey AS VARCHAR), 1, 1) WHEN '2' THEN 'ok' WHEN '3' THEN 'info' WHEN '4' THEN 'warn' WHEN '5' THEN 'error' ELSE 'default' END AS colour, regexp_matches(o_orderpriority, '^[0-9.,-]*[0-9][0-9.,-]*$') AS numeric_text FROM orders")
+def lv_status(spark, d):
+    key = F.col("o_orderkey").cast("string")
+    return table(spark, d, "orders").select("o_orderkey", levels.cell_colour("http_status", key).alias("colour"), text.is_numeric_text(F.col("o_orderpriority")).alias("numeric_text"))
+
+
+# --- profiles --------------------------------------------------------------------------------------------------
+
+
+def _scan(df: DataFrame, kind: str, raw, line: str) -> DataFrame:
+    return df.select(F.col(line).alias("line_no"), F.when(raw.isNotNull(), F.lit(kind)).alias("kind"), raw.cast("string").alias("raw"))
+
+
+def _rank_sql(p: float) -> str:
+    return f"s[1 + CAST(floor((len(s) - 1) * {p} + 0.5) AS BIGINT)]"
+
+
+@register("an_numeric", f"WITH x AS (SELECT list_sort(list(user_id::DOUBLE)) AS s, count(*) AS n, min(user_id)::DOUBLE AS mn, max(user_id)::DOUBLE AS mx, sum(user_id)::DOUBLE AS sm FROM events) SELECT n AS count, CAST(0 AS BIGINT) AS skipped, n AS scope_rows, mn AS min, mx AS max, round(sm / n, 9) AS mean, {_rank_sql(0.5)} AS p50, {_rank_sql(0.95)} AS p95, {_rank_sql(0.99)} AS p99, false AS sampled FROM x")
+def an_numeric(spark, d):
+    return profile.numeric_stats(_scan(table(spark, d, "events"), "Num", F.col("user_id"), "event_id")).withColumn("mean", F.round("mean", 9))
+
+
+@register("an_numeric_filtered", f"WITH x AS (SELECT list_sort(list(value)) AS s, count(*) AS n, min(value) AS mn, max(value) AS mx, sum(value) AS sm FROM events WHERE event_type = 'error') SELECT n AS count, n AS scope_rows, mn AS min, mx AS max, round(sm / n, 6) AS mean, {_rank_sql(0.5)} AS p50, {_rank_sql(0.95)} AS p95, {_rank_sql(0.99)} AS p99 FROM x")
+def an_numeric_filtered(spark, d):
+    out = profile.numeric_stats(_scan(filtered_events(spark, d, "event_type=error"), "Num", F.col("value"), "event_id"))
+    return out.select("count", "scope_rows", "min", "max", F.round("mean", 6).alias("mean"), "p50", "p95", "p99")
+
+
+@register("an_numeric_big", f"WITH x AS (SELECT list_sort(list(l_extendedprice)) AS s, count(*) AS n FROM lineitem) SELECT n AS count, {_rank_sql(0.5)} AS p50, {_rank_sql(0.95)} AS p95, {_rank_sql(0.99)} AS p99 FROM x")
+def an_numeric_big(spark, d):
+    """Nearest-rank quantiles of a larger column."""
+    return profile.numeric_stats(_scan(table(spark, d, "lineitem"), "Num", F.col("l_extendedprice"), "l_orderkey")).select("count", "p50", "p95", "p99")
+
+
+@register("an_enum", f"WITH c AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank, sum(n) OVER () AS total FROM c) SELECT CAST(rank AS INTEGER) AS rank, value, n, CAST(total - sum(n) OVER () AS BIGINT) AS others, CAST(total AS BIGINT) AS total, CAST(0 AS BIGINT) AS skipped, false AS capped, CAST(total AS BIGINT) AS scope_rows FROM r WHERE rank <= {TOP_VALUES}")
+def an_enum(spark, d):
+    return profile.enum_stats(_scan(table(spark, d, "events"), "Str", F.col("event_type"), "event_id"))
+
+
+@register("an_enum_top", f"WITH c AS (SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank, sum(n) OVER () AS total FROM c) SELECT CAST(rank AS INTEGER) AS rank, value, n, CAST(total - sum(n) OVER () AS BIGINT) AS others, CAST(total AS BIGINT) AS total FROM r WHERE rank <= {TOP_VALUES}")
+def an_enum_top(spark, d):
+    return profile.enum_stats(_scan(table(spark, d, "events"), "Num", F.col("user_id"), "event_id")).select("rank", "value", "n", "others", "total")
+
+
+@register("an_enum_capped", f"WITH c AS (SELECT CAST(o_orderkey AS VARCHAR) AS value, count(*) AS n, min(o_orderkey) AS met FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY met) AS seen, count(*) OVER () AS d, sum(n) OVER () AS total FROM c), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM k WHERE seen <= {DISTINCT_CAP}) SELECT CAST(rank AS INTEGER) AS rank, value, n, CAST(total - sum(n) OVER () AS BIGINT) AS others, d > {DISTINCT_CAP} AS capped FROM r WHERE rank <= {TOP_VALUES}")
+def an_enum_capped(spark, d):
+    return profile.enum_stats(_scan(table(spark, d, "orders"), "Num", F.col("o_orderkey"), "o_orderkey")).select("rank", "value", "n", "others", "capped")
+
+
+@register("an_format", "SELECT event_id, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.2f', v) END AS shown FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE ELSE event_id + 0.25 END AS v FROM events)")
+def an_format(spark, d):
+    v = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("double")).otherwise(F.col("event_id") + 0.25)
+    return table(spark, d, "events").select("event_id", text.format_number(v).alias("shown"))
+
+
+@register("an_json_field", "SELECT count(*) AS count, min(k) AS min, max(k) AS max FROM (SELECT CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)")
+def an_json_field(spark, d):
+    """A field of JSON lines through the strict parser."""
+    lines = table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("value"))
+    return profile.numeric_stats(profile.field_scan(lines, "k")).select("count", "min", "max")
+
+
+# --- timeline --------------------------------------------------------------------------------------------------
+
+#: Three sources of events: late rows on every fifth, no time on two of seventeen, and clock offsets.
+OFFSETS = (0, -7000, 3_600_000)
+SRC_SQL = f"""SELECT CAST(user_id % 3 AS INTEGER) AS src, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS line_no, event_id, event_type,
+  CASE WHEN event_id % 17 IN (0, 1) THEN NULL ELSE epoch_us(ts) // 1000 - CASE WHEN event_id % 5 = 0 THEN 3600000 ELSE 0 END
+  + CASE user_id % 3 WHEN 0 THEN {OFFSETS[0]} WHEN 1 THEN {OFFSETS[1]} ELSE {OFFSETS[2]} END END AS ts_raw FROM events"""
+MERGE_SQL = f"""WITH s AS ({SRC_SQL}), i AS (SELECT *, coalesce(last_value(ts_raw IGNORE NULLS) OVER (PARTITION BY src ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(ts_raw IGNORE NULLS) OVER (PARTITION BY src ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ts FROM s {{where}}),
+ r AS (SELECT *, max(ts) OVER (PARTITION BY src ORDER BY line_no) AS reached FROM i),
+ m AS (SELECT *, row_number() OVER (ORDER BY reached, src, line_no) - 1 AS merge_pos FROM r)"""
+
+
+def event_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(src, line_no, event_id, event_type, ts_raw)."""
+    from pyspark.sql import Window
+
+    src = (F.col("user_id") % 3).cast("int")
+    offset = F.element_at(F.array(*[F.lit(x) for x in OFFSETS]), src + 1)
+    ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 5 == 0, 3_600_000).otherwise(0) + offset
+    no = (F.row_number().over(Window.partitionBy(src).orderBy("event_id")) - 1).cast("long")
+    return table(spark, d, "events").select(src.alias("src"), no.alias("line_no"), "event_id", "event_type", F.when(~(F.col("event_id") % 17).isin(0, 1), ms).alias("ts_raw"))
+
+
+def merged_events(spark: SparkSession, d: str, hidden=()) -> DataFrame:
+    rows_ = event_sources(spark, d)
+    return timeline.merge_order(timeline.running_order(rows_.filter(~F.col("src").isin(*hidden)) if hidden else rows_))
+
+
+@register("mg_order", MERGE_SQL.format(where="") + " SELECT src, line_no, ts, merge_pos FROM m")
+def mg_order(spark, d):
+    return merged_events(spark, d).select("src", "line_no", "ts", "merge_pos")
+
+
+@register("mg_masked", MERGE_SQL.format(where="WHERE src <> 1") + " SELECT src, line_no, merge_pos FROM m")
+def mg_masked(spark, d):
+    return merged_events(spark, d, (1,)).select("src", "line_no", "merge_pos")
+
+
+@register("mg_trace", MERGE_SQL.format(where="") + " SELECT src, line_no, merge_pos FROM m WHERE contains(event_type, 'purch')")
+def mg_trace(spark, d):
+    return merged_events(spark, d).filter(text.contains_ci(F.col("event_type"), "PURCH")).select("src", "line_no", "merge_pos")
+
+
+@register("mg_window", MERGE_SQL.format(where="") + " SELECT src, line_no, merge_pos FROM m WHERE merge_pos BETWEEN 100 AND 299")
+def mg_window(spark, d):
+    return merged_events(spark, d).filter(F.col("merge_pos").between(100, 299)).select("src", "line_no", "merge_pos")
+
+
+@register("mg_follow", MERGE_SQL.format(where="") + " SELECT src, line_no, merge_pos FROM m ORDER BY merge_pos DESC LIMIT 50")
+def mg_follow(spark, d):
+    return rows.tail_rows(merged_events(spark, d).select("src", "line_no", "merge_pos"), 50)
+
+
+@register("mg_time_of_day", "SELECT event_id, strftime(ts, '%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') AS time FROM events")
+def mg_time(spark, d):
+    return table(spark, d, "events").select("event_id", timestamps.time_of_day(F.unix_millis(F.col("ts").cast("timestamp"))).alias("time"))
+
+
+@register("mg_union_cells", f"WITH x AS ({JSON_SQL}) SELECT CAST(0 AS INTEGER) AS src, line_no, json_extract_string(value, '$.level') AS level, json_extract_string(value, '$.user') AS \"user\", '' AS role FROM x UNION ALL SELECT 1, conv_id * 1000 + turn, '', '', role FROM conversations")
+def mg_union(spark, d):
+    a = json_events(spark, d).withColumn("src", F.lit(0))
+    conv = table(spark, d, "conversations")
+    b = conv.select(F.lit(1).alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.to_json(F.struct("role", F.lit("stray").alias("level"))).alias("value"))
+    names, _ = timeline.union_columns([["level", "user"], ["role"]])
+    return timeline.union_cells(a, ["level", "user"], names).unionByName(timeline.union_cells(b, ["role"], names))
+
+
+@register("mg_packed", f"WITH s AS ({SRC_SQL}) SELECT (src::BIGINT << 32) | line_no AS key, src, line_no FROM s")
+def mg_packed(spark, d):
+    key = text.pack_key(F.col("src"), F.col("line_no"))
+    return event_sources(spark, d).select(key.alias("key")).select("key", text.unpack_src(F.col("key")).alias("src"), text.unpack_line(F.col("key")).alias("line_no"))
+
+
+# --- timestamps ------------------------------------------------------------------------------------------------
+
+
+@register("ts_formats", "SELECT event_id, epoch_us(ts) // 1000 - 28800000 AS iso, epoch_us(date_trunc('second', ts)) // 1000 + 250 AS log4j, epoch_us(ts) // 1000 AS epoch, epoch_us(ts) // 1000 - 19800000 AS zoned FROM events")
+def ts_formats(spark, d):
+    """ISO without a zone in +8, log4j, epoch milliseconds, ISO with its own zone."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("event_id", timestamps.civil(ms).alias("c"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("s"), ms.alias("ms"))
+    eight = timestamps.zone_ms("+8")
+    return e.select(
+        "event_id", timestamps.value_ms(F.regexp_replace("c", " ", "T"), eight).alias("iso"), timestamps.prefix_ms(F.concat("s", F.lit(",250 ERROR x")), "log4j").alias("log4j"),
+        timestamps.prefix_ms(F.concat(F.col("ms").cast("string"), F.lit(" x")), "epoch").alias("epoch"), timestamps.value_ms(F.concat(F.regexp_replace("c", " ", "T"), F.lit("+05:30")), eight).alias("zoned"),
+    )
+
+
+# --- sources and rows ------------------------------------------------------------------------------------------
+
+LINES_SQL = "SELECT doc_id AS src_key, unnest(string_split(CASE WHEN text LIKE '%\n' THEN left(text, len(text) - 1) ELSE text END, chr(10))) AS value, generate_subscripts(string_split(CASE WHEN text LIKE '%\n' THEN left(text, len(text) - 1) ELSE text END, chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> ''"
+
+
+@register("sc_lines", f"SELECT src_key, CAST(line_no AS BIGINT) AS line_no, regexp_replace(value, '\\r$', '') AS value FROM ({LINES_SQL})")
+def sc_lines(spark, d):
+    return lines_of_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@register("sc_head", f"SELECT src_key, CAST(line_no AS BIGINT) AS line_no FROM ({LINES_SQL}) WHERE line_no < 3")
+def sc_head(spark, d):
+    return rows.head_sample(lines_of_texts(table(spark, d, "documents"), "doc_id", "text"), 3).select("src_key", "line_no")
+
+
+@register("sc_line_at", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, value FROM x WHERE line_no = 123")
+def sc_line_at(spark, d):
+    return rows.line_at_number(plain_events(spark, d), 123)
+
+
+@register("sc_subset", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, value FROM x WHERE line_no IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def sc_subset(spark, d):
+    wanted = filtered_events(spark, d, "event_type=error").select(F.col("event_id").alias("line_no"))
+    return rows.subset(plain_events(spark, d), wanted)
+
+
+@register("sc_synthetic")
+def sc_synthetic(spark, d):
+    """Generated plain, flat and nested JSON lines."""
+    made = [generate.plain_lines(spark, 2000), generate.json_lines(spark, 2000), generate.json_lines(spark, 2000, nested=True)]
+    return made[0].withColumn("kind", F.lit("plain")).unionByName(made[1].withColumn("kind", F.lit("json"))).unionByName(made[2].withColumn("kind", F.lit("nested")))
+
+
+@register("sc_synthetic_merge")
+def sc_synthetic_merge(spark, d):
+    """The truth table of generated sources to merge."""
+    return generate.merge_sources(spark, 2000, 4)[1]
+
+
+@register("rs_display", "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS line_no, CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 0 END AS n_sub FROM lineitem) SELECT line_no, CAST(n_sub AS INTEGER) AS n_sub, CAST(coalesce(sum(n_sub + 1) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS display_row FROM c")
+def rs_display(spark, d):
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no")
+    return rows.display_rows(table(spark, d, "lineitem").select(line, F.when(F.col("l_linenumber") % 2 == 0, 3).otherwise(0).alias("n_sub")))
+
+
+@register("rs_display_count", "SELECT CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 4 ELSE 1 END) AS BIGINT) AS display_count FROM lineitem")
+def rs_display_count(spark, d):
+    return rows.display_count(table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, 3).otherwise(0).alias("n_sub")))
+
+
+@register("rs_next_mark", "SELECT coalesce(min(event_id) FILTER (WHERE event_id > 640), min(event_id)) AS line_no FROM events WHERE event_type = 'signup'")
+def rs_next_mark(spark, d):
+    return rows.next_marked(filtered_events(spark, d, "event_type=signup").select(F.col("event_id").alias("line_no")), 640)
+
+
+@register("rs_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def rs_top(spark, d):
+    return rows.top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), TOP_VALUES, F.desc("o_totalprice"), "o_orderkey")
+
+
+# --- JSON and cells --------------------------------------------------------------------------------------------
+
+
+@register("sf_flatten", "SELECT event_id AS line_no, CAST(0 AS INTEGER) AS sub_off, CAST(1 AS INTEGER) AS depth, 'k' AS label, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def sf_flatten(spark, d):
+    lines = table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("value"))
+    return rows.sub_rows(lines).drop("text")
+
+
+@register("sf_parse", f"WITH x AS ({JSON_SQL}) SELECT line_no, json_extract_string(value, '$.level') AS level, 'Num' AS user_kind, json_extract_string(value, '$.id') AS id, true AS expandable FROM x")
+def sf_parse(spark, d):
+    p = F.col("p")
+    parsed = json_events(spark, d).select("line_no", jsonx.parse_line(F.col("value")).alias("p"))
+    return parsed.select("line_no", jsonx.field_of(p, "level").alias("level"), jsonx.field_of(p, "user", "kinds").alias("user_kind"), jsonx.field_of(p, "id", "raw").alias("id"), jsonx.is_expandable(p).alias("expandable"))
+
+
+@register("sk_csv_line", "SELECT event_id, event_id || ',' || event_type || ',\"' || replace(props, '\"', '\"\"') || '\"' AS csv_line FROM events")
+def sk_csv(spark, d):
+    return table(spark, d, "events").select("event_id", export.csv_line([F.col("event_id").cast("string"), F.col("event_type"), F.col("props")]).alias("csv_line"))
+
+
+@register("sk_formula", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '''=' || event_type WHEN 1 THEN '-' || user_id WHEN 2 THEN '''+' || event_type ELSE '''@' || event_type END AS cell FROM events")
+def sk_formula(spark, d):
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    m = F.col("event_id") % 4
+    raw = F.when(m == 0, F.concat(F.lit("="), kind)).when(m == 1, F.concat(F.lit("-"), user)).when(m == 2, F.concat(F.lit("+"), kind)).otherwise(F.concat(F.lit("@"), kind))
+    return table(spark, d, "events").select("event_id", export.neutralised(raw).alias("cell"))
+
+
+@register("sk_csv_json", f"WITH x AS ({JSON_SQL}) SELECT line_no, json_extract_string(value, '$.level') || ',' || json_extract_string(value, '$.id') || ',' AS csv_line, true AS ok FROM x")
+def sk_csv_json(spark, d):
+    return export.csv_rows(json_events(spark, d), ["level", "id", "missing"])
+
+
+@register("sk_pretty", 'SELECT event_id AS line_no, \'{\' || chr(10) || \'  "k": \' || json_extract_string(props, \'$.k\') || chr(10) || \'}\' AS text, true AS ok FROM events')
+def sk_pretty(spark, d):
+    return export.pretty_rows(table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("value")))
