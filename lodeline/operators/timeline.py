@@ -153,11 +153,11 @@ class Timeline:
         return union_columns([s.columns for s in self.sources])
 
     def table(self) -> DataFrame:
-        """The timeline with the union of the sources' columns."""
+        """Rows (src, line_no, merge_pos, time, cells); cells has the union of the sources' columns, whatever their names."""
         names, _ = self.columns()
         parts = [union_cells(self.extracted(i), s.columns, names) for i, s in enumerate(self.sources) if not s.hidden]
-        cells = reduce(DataFrame.unionByName, parts)
-        return self.rows().join(cells, ["src", "line_no"])
+        cells = reduce(DataFrame.unionByName, parts).select("src", "line_no", F.struct(*[F.col(f"`{n}`") for n in names]).alias("cells"))
+        return self.rows().select("src", "line_no", "merge_pos", "time").join(cells, ["src", "line_no"])
 
     def text(self) -> DataFrame:
         return self.rows().withColumn("value", trim_end(F.col("value")))
@@ -173,7 +173,7 @@ def union_cells(rows: DataFrame, own: list[str], names: list[str]) -> DataFrame:
     """One source's cells: blank where its schema lacks the column, the line lacks the field or is no JSON."""
     parsed = rows.select("src", "line_no", jsonx.parse_line(F.col("value")).alias("_p"))
     cells = [(F.coalesce(jsonx.field_of(F.col("_p"), c), F.lit("")) if c in own else F.lit("")).alias(c) for c in names]
-    return parsed.select("src", "line_no", *cells)
+    return parsed.select(F.col("src"), F.col("line_no"), *cells)
 
 
 def carry_state(state: DataFrame, old: list[str], new: list[str]) -> DataFrame:
