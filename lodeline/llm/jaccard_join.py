@@ -1,21 +1,21 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A text's set is its distinct shingles of five words (ASCII-lower-cased), as 64-bit hashes; texts of equal
-sets are one node. All shingles have one global order, rarest first: by counts of all documents in a
-sketch of fixed size (least of two hashed counters), ties by hash. Two nodes of similarity t or more share a
+sets are one node. All shingles have one global order, rarest first: by a table of fixed size that counts all shingles
+of all documents by a slot of their hash, ties by hash. Two nodes of similarity t or more share a
 shingle within the first n - ceil(t n) + 1 of each, and at their first shared one at places i and j
 1 + min(n - i - 1, m - j - 1) reaches the overlap that t asks for. So postings of prefix shingles are dealt by
-shingle, streamed in order of (shingle, size), and pairs pass the length and positional filters there; the
-suffix filter then bounds the overlap of what follows from two probes before the sets are intersected, once per pair.
+shingle, and pairs of a list pass the length and positional filters; the suffix filter then bounds the overlap of what
+follows from three probes before the sets are intersected, once per pair.
 
-Lists with up to ``SMALL`` nodes give all their pairs. Longer lists, as of large groups of near copies,
-first give only pairs with their hub, the node of least hash; after those are verified and contracted to components, pairs
-within one component can't change the result, and only pairs across components pass on: nodes outside a list's
-largest component against the list, through a join that holds no list in memory. No link between components is
-lost: the filters are exact and nothing is capped.
+A list first gives only the pairs with its hub, the node at which its shingle stands earliest (fewest rarer
+shingles: of a group of near copies the one with the fewest changes of its own). After those are verified and contracted
+to components, pairs within one component can't change the result; nodes outside their hub's
+component are then held against the rest of their lists, by a join that keeps no list in memory. No link
+between components is lost: the filters are exact and nothing is capped.
 
-Passes over texts: counts and membership; postings; sets of candidate nodes. Texts are shuffled only for the last,
-and only where the ids of candidates are more than ``BROADCAST_BYTES``.
+Passes over texts: counts and membership; postings; sets of candidate nodes. Texts are not shuffled unless the ids of
+candidates are more than ``BROADCAST_BYTES``.
 
 Defined results: null or wordless texts have the empty set and link with nothing; texts of fewer than five
 words have their whole sequence as one shingle; rows of equal doc_id count as texts of their own with that
@@ -37,8 +37,8 @@ from .components import components
 from .shared import scratch_dir, stored
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
-SMALL = 24
-SKETCH = 1 << 16
+#: Slots of the table of counts, the ranges it is summed in, and shingles that a task gathers before it sums its own.
+SLOTS, RANGES, GATHER = 1 << 24, 16, 3_000_000
 BROADCAST_BYTES = 64 << 20
 CACHE = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,14 +79,9 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
-def slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (s & np.uint64(SKETCH - 1)).astype(np.int64), ((s >> np.uint64(16)) & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
-def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def rare_first(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """The set in the global order."""
-    a, b = slots(s)
-    return s[np.lexsort((s, np.minimum(counts[0][a], counts[1][b])))]
+    return s[np.argsort(rarity[s & np.uint64(SLOTS - 1)], kind="stable")]
 
 
 def least_overlap(n, m):
@@ -100,34 +95,85 @@ def prefix_length(n: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def counted(slots: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """(range, size, compressed slots and counts) of a task's shingles."""
+    slot, count = np.unique(np.concatenate(slots), return_counts=True)
+    width = SLOTS // RANGES
+    cut = np.searchsorted(slot, np.arange(RANGES + 1) * width)
+    for r in range(RANGES):
+        part = slot[cut[r] : cut[r + 1]] - np.uint32(r * width)
+        if len(part):
+            raw = np.diff(part, prepend=np.uint32(0)).astype("<u4").tobytes() + np.minimum(count[cut[r] : cut[r + 1]], 0xFFFFFFFF).astype("<u4").tobytes()
+            yield r, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, n) of documents and rows (slot, c0, c1) of each task's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("slot", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
+    """Rows (doc_id, text_hash, node, n) of documents and rows (range, size, blob) of each task's counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("range", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
+
+    def rows(**given):
+        length = max(len(v) for v in given.values())
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(length, f.type) for f in schema], schema=schema)
+
+    def sums(slots):
+        ranges, sizes, blobs = zip(*counted(slots), strict=True)
+        return rows(range=ranges, size=sizes, blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known, counts = WordHashes(), np.zeros((2, SKETCH), np.int64)
+        known, slots, held = WordHashes(), [], 0
         for batch in batches:
             nodes, sizes = [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, known)
                 nodes.append(node_of(s) if len(s) else None)
                 sizes.append(len(s))
-                for row, slot in enumerate(slots(s)):
-                    np.add.at(counts[row], slot, 1)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none, none], schema=schema)
-        used = np.flatnonzero(counts.any(axis=0))
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(used, pa.int32()), pa.array(counts[0][used]), pa.array(counts[1][used])], schema=schema)
+                slots.append((s & np.uint64(SLOTS - 1)).astype(np.uint32))
+                held += len(s)
+                if held >= GATHER:
+                    yield sums(slots)
+                    slots, held = [], 0
+            if batch.num_rows:
+                yield rows(doc_id=batch["doc_id"].to_pylist(), text_hash=batch["text_hash"].to_pylist(), node=nodes, n=sizes)
+        if held:
+            yield sums(slots)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, slot int, c0 long, c1 long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, range int, size long, blob binary")
 
 
-def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Rows (token, node, n, pos) of prefix shingles; a task gives each node once while it remembers it."""
+def rarity_of(made: DataFrame) -> np.ndarray:
+    """For each slot eight times the logarithm of its count, in a byte. Ranges are summed by executors; the driver gets ``SLOTS`` bytes at any size."""
+    width = SLOTS // RANGES
+
+    def add(batches):
+        at, total = None, np.zeros(width, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_pydict({"range": pa.array([at], pa.int32()), "blob": [np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8).tobytes()]})
+
+        for batch in batches:
+            for r, size, blob in zip(batch["range"].to_pylist(), batch["size"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                if r != at:
+                    if at is not None:
+                        yield out()
+                    at, total = r, np.zeros(width, np.int64)
+                raw = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd"), "<u4")
+                half = len(raw) // 2
+                total[np.cumsum(raw[:half], dtype=np.int64)] += raw[half:]
+        if at is not None:
+            yield out()
+
+    rarity = np.zeros(SLOTS, np.uint8)
+    dealt = made.filter("range is not null").select("range", "size", "blob").repartition(RANGES, "range").sortWithinPartitions("range")
+    for r in dealt.mapInArrow(add, "range int, blob binary").collect():
+        rarity[r.range * width : (r.range + 1) * width] = np.frombuffer(r.blob, np.uint8)
+    return rarity
+
+
+def postings(docs: DataFrame, rarity) -> DataFrame:
+    """Rows (token, node, n, pos) of prefix shingles; a task gives each node once while it remembers it. ``rarity`` is a broadcast."""
 
     def run(batches):
-        known, given = WordHashes(), set()
+        known, given, table = WordHashes(), set(), rarity.value
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
             for t in batch["text"].to_pylist():
@@ -137,7 +183,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 if len(given) >= CACHE:
                     given.clear()
                 given.add(node)
-                first = rare_first(s, counts)[: prefix_length(len(s))]
+                first = rare_first(s, table)[: prefix_length(len(s))]
                 tokens.append(first)
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), len(s), np.int32))
@@ -148,85 +194,14 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def runs(batches: Iterator[pa.RecordBatch], names: list[str]):
-    """Groups of equal token from sorted batches, as arrays; a group may span batches."""
-    held: dict[str, list[np.ndarray]] = {c: [] for c in names}
-    for batch in batches:
-        cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
-        if not batch.num_rows:
-            continue
-        cut = np.flatnonzero(np.diff(cols["token"])) + 1
-        if held["token"] and held["token"][-1][-1] != cols["token"][0]:
-            yield {c: np.concatenate(v) for c, v in held.items()}
-            held = {c: [] for c in names}
-        begin = 0
-        for end in cut:
-            if held["token"]:
-                yield {c: np.concatenate([*held[c], cols[c][begin:end]]) for c in names}
-                held = {c: [] for c in names}
-            elif end - begin > 1:
-                yield {c: cols[c][begin:end] for c in names}
-            begin = end
-        for c in names:
-            held[c].append(cols[c][begin:])
-    if held["token"]:
-        yield {c: np.concatenate(v) for c, v in held.items()}
-
-
-def passing(n, i, m, j):
-    """Length and positional filters for sizes n, m and places i, j, elementwise."""
-    num, den = SIMILAR
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    return (small * den >= large * num) & (1 + np.minimum(n - i - 1, m - j - 1) >= least_overlap(n, m))
-
-
-class Pairs:
-    """Gathers pairs, each once, and gives them in batches."""
-
-    def __init__(self, most: int = 1 << 18):
-        self.most, self.a, self.b, self.held = most, [], [], 0
-
-    def add(self, a: np.ndarray, b: np.ndarray):
-        if len(a):
-            self.a.append(np.minimum(a, b))
-            self.b.append(np.maximum(a, b))
-            self.held += len(a)
-        return self.take() if self.held >= self.most else None
-
-    def take(self):
-        if not self.held:
-            return None
-        both = np.unique(np.stack([np.concatenate(self.a), np.concatenate(self.b)], axis=1), axis=0)
-        if self.held >= self.most and len(both) < self.most // 2:
-            self.a, self.b, self.held = [both[:, 0]], [both[:, 1]], len(both)
-            return None
-        self.a, self.b, self.held = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    def rest(self):
-        self.most = 1 << 62
-        return self.take()
-
-
-def short_pairs(batches):
-    """All pairs of lists that have ``SMALL`` nodes at most and pass the filters."""
-    pairs = Pairs()
-    for run in runs(batches, ["token", "node", "n", "pos"]):
-        if len(run["node"]) < 2:
-            continue
-        node, n, pos = (run[c].astype(np.int64) for c in ("node", "n", "pos"))
-        x, y = np.triu_indices(len(node), 1)
-        ok = passing(n[x], pos[x], n[y], pos[y])
-        if (out := pairs.add(node[x[ok]], node[y[ok]])) is not None:
-            yield out
-    if (out := pairs.rest()) is not None:
-        yield out
-
+def with_hubs(batches):
+    """Of postings sorted by token, place, size and node the lists of two nodes or more: each node once, beside its list's first node.
 
-def shared_postings(batches):
-    """Of postings sorted by token and node those whose token another node has, each once; holds one row between batches."""
+    Holds one row between batches, whatever the length of a list.
+    """
     names = ["token", "node", "n", "pos"]
-    held, linked_before = None, False
+    hub_names = ["hub", "hub_n", "hub_pos"]
+    held, held_hub, listed = None, None, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -240,25 +215,28 @@ def shared_postings(batches):
         keep = np.zeros(len(cols[0]), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        keep[0] |= linked_before
-        held, linked_before = [c[-1:] for c in cols], bool(keep[-1])
+        keep[0] |= listed
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(keep)), 0))
+        hubs = [c[begin] for c in cols[1:]]
+        if held is not None:
+            run = cols[0] == cols[0][0]  # continues the list of the row held
+            for h, old in zip(hubs, held_hub, strict=True):
+                h[run] = old
+        held, held_hub, listed = [c[-1:] for c in cols], [h[-1] for h in hubs], bool(keep[-1])
         keep[-1] = False  # its turn comes with the next batch
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
-    if held is not None and linked_before:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*cols, *hubs)], names=names + hub_names)
+    if held is not None and listed:
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held), *(pa.array([h], pa.array(c).type) for h, c in zip(held_hub, held[1:], strict=True))], names=names + hub_names)
 
 
 def passing_rows(n, i, m, j) -> Column:
-    """``passing`` as an expression over column names."""
+    """Length and positional filters for sizes n, m and places i, j (column names)."""
     num, den = SIMILAR
     need = f"(({num} * ({n} + {m}) + {num + den - 1}) div {num + den})"
     return F.expr(f"least({n}, {m}) * {den} >= greatest({n}, {m}) * {num} AND 1 + least({n} - {i} - 1, {m} - {j} - 1) >= {need}")
 
 
-def ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def suffix_apart(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     """Whether sorted sets can't overlap enough: each probe splits both, and halves overlap by their smaller parts at most."""
     spots = a[[len(a) // 4, len(a) // 2, 3 * len(a) // 4]]
@@ -289,15 +267,17 @@ def verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, s) of the sets of ``nodes``, made again from one document of each."""
-    one = members.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("_id"))
-    wanted = stored(one, "wanted")
-    n = wanted.count()
-    ids = wanted.select("_id").distinct()
-    if n * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    texts = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "_id", "left_semi").select("text")
+def checked_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A stored table with a hint to broadcast it if its rows are few enough, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows (node, s) of the sets of ``nodes``, made again from one document of each; some of other nodes may come along."""
+    id_of = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_of(F.col("doc_id"))).alias("_id"))
+    ids = checked_broadcast(stored(one.select("_id").distinct(), f"{name}-ids", root))
+    texts = docs.withColumn("_id", id_of(F.col("doc_id"))).join(ids, "_id", "left_semi").select("text")
 
     def run(batches):
         known = WordHashes()
@@ -305,18 +285,20 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
             made = [shingles(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
 
-    sets = texts.mapInArrow(run, "node long, s binary").join(wanted.select("node"), "node", "left_semi")
-    return sets.dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, s binary")
 
 
 def linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, root: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct pairs, and those (a, b) whose sets are similar enough; each is verified once."""
+    """The distinct pairs (a, b), and those whose sets are similar enough; each is verified once.
+
+    The sets of b go to those of a, so a is to be the side of fewer nodes.
+    """
     pairs = stored(pairs.distinct(), f"{name}-pairs", root)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(sets_of(docs, members, nodes), f"{name}-sets", root)
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("set_b")), "b")
-    whole = right.join(sets.select(F.col("node").alias("a"), F.col("s").alias("set_a")), "a")
-    return pairs, stored(whole.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"{name}-links", root)
+    few = stored(sets_of(docs, members, pairs.select(F.col("a").alias("node")).distinct(), root, f"{name}-a"), f"{name}-sets", root)
+    many = sets_of(docs, members, pairs.select(F.col("b").alias("node")).distinct(), root, f"{name}-b")
+    right = many.select(F.col("node").alias("b"), F.col("s").alias("set_b")).join(checked_broadcast(pairs), "b")
+    whole = right.join(few.select(F.col("node").alias("a"), F.col("s").alias("set_a")), "a")
+    return pairs, stored(whole.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), f"{name}-links", root)
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep_hash: bool = False) -> DataFrame:
@@ -325,26 +307,27 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     root = scratch_dir(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     made = stored(profile(docs), "profile", root)
-    members = made.filter("slot is null").select("doc_id", "text_hash", "node", "n")
-    counts = np.zeros((2, SKETCH), np.int64)
-    for r in made.filter("slot is not null").groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas().itertuples():  # of fixed size
-        counts[:, r.slot] = r.c0, r.c1
-    dealt = postings(docs, counts).repartition("token").sortWithinPartitions("token", "node")
+    members = made.filter("range is null").select("doc_id", "text_hash", "node", "n")
+    rarity = spark.sparkContext.broadcast(rarity_of(made))
+    order = ["token", "pos", "n", "node"]
+    dealt = postings(docs, rarity).repartition("token").sortWithinPartitions(*order)
     # Only shingles of two nodes or more go on: the few that documents share.
-    shared = stored(dealt.mapInArrow(shared_postings, "token long, node long, n int, pos int"), "shared", root)
-    heads = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n", "pos")).alias("hub")).filter(F.col("c") > SMALL).drop("c")
-    lists = stored(shared.join(heads, "token", "left"), "lists", root)
-    short = lists.filter("hub is null").select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(short_pairs, "a long, b long")
-    hubs = lists.filter(F.col("hub.node") != F.col("node")).filter(passing_rows("n", "pos", "hub.n", "hub.pos")).select(*ordered("node", "hub.node"))
-    tried, links = linked(docs, members, short.unionByName(hubs), root, "first")
-    found = components(links)
-    many = lists.filter("hub is not null").select("token", "node", "n", "pos")
-    if not many.isEmpty():
-        tagged = stored(many.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "tagged", root)
-        largest = tagged.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
-        outside = tagged.join(largest, "token").filter("root <> top").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("xroot"))
-        across = outside.join(tagged, "token").filter("root <> xroot").filter(passing_rows("n", "pos", "m", "at")).select(*ordered("node", "x"))
-        _, more = linked(docs, members, across.distinct().join(tried, ["a", "b"], "left_anti"), root, "across")
+    lists = stored(dealt.mapInArrow(with_hubs, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"), "lists", root)
+    rarity.unpersist()
+    hubs = lists.filter("hub <> node").filter(passing_rows("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    tried, links = linked(docs, members, hubs, root, "first")
+    found = stored(components(links), "found", root)
+    roots = checked_broadcast(found)
+    tagged = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tagged = tagged.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    # Nodes that are not in their hub's component; one beside its hub alone has been held against it.
+    outside = stored(tagged.filter("root <> hub_root").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("xroot")), "outside", root)
+    rest = tagged.select("token", "node", "n", "pos", "root", "hub")
+    across = outside.join(rest, "token").filter("root <> xroot and node <> hub").filter(passing_rows("n", "pos", "m", "at")).select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    fresh = stored(across.join(known, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across", root)
+    if not fresh.isEmpty():
+        _, more = linked(docs, members, fresh, root, "more")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     classes = members.join(found, "node", "left").select("doc_id", "text_hash", "node", "n", F.coalesce("root", "node").alias("root"))
