@@ -8,13 +8,13 @@ range-partitioned files of rANS blocks (``rans``) that share one frequency table
 and its index (zlib) holds a checkpoint per block (byte offset, ids before it) and the documents (doc_id,
 ids). A reader may start at any checkpoint; each block carries a checksum of its ids.
 
-One pass counts ids (a row per id and task, summed: bounded by the vocabulary), a second deals texts by
-ranges of doc_id (the only shuffle of texts), sorts and writes. A task writes its file under a name of its
-own and then renames it, so a retried task replaces it whole. Files go to the folder that the cluster shares,
-by the file system its URI names.
+Texts are dealt by ranges of doc_id (the only shuffle), sorted and tokenised; each task keeps its ids in a file
+and counts them (a row per id and task, summed: bounded by the vocabulary). With the common table a second step codes each of
+those files. A task writes its file under a name of its own and then renames it, so a retried task replaces it whole.
+Files go to the folder that the cluster shares, by the file system its URI names.
 
 Tokenising is by word: the tokenizer never joins over white space, so words are encoded once by the
-library and remembered. Tokenising is repeated in the second pass, which is cheaper than storing all ids.
+library and remembered.
 
 Defined results: null and empty texts are the end id alone; a null doc_id is first; rows of equal doc_id go by
 text; repeated rows are written again; an empty table writes no files; further columns are ignored.
@@ -36,44 +36,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import scratch_dir
+from .shared import scratch_dir, stored
 
 END_ID = 2
-CACHE = 250_000
+#: Words of a generation; documents of a chunk.
+CACHE, CHUNK = 350_000, 256
 _ODD = re.compile("[\x1c-\x1f]")
 #: What the tokenizer takes for white space; Python's split() differs by the characters above alone.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 class WordIds(dict):
-    """Ids of a word as bytes of little-endian unsigned 16-bit integers, by the tokenizers library; forgets all when full."""
+    """Ids of a word as bytes of little-endian unsigned 16-bit integers, by the tokenizers library.
+
+    Two generations of words are kept: when the younger is full the older goes, and words met again move to the younger.
+    """
+
+    shared: dict[str, WordIds] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """This process's own; Spark's Python workers serve many tasks."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("this format has ids of 16 bits")
-        self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
+        if len(self) + len(words) > CACHE:
+            self.old = dict(self)
             self.clear()
-            new = list(words)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u2").tobytes()
+        again = words.intersection(self.old)
+        for w in again:
+            self[w] = self.old[w]
+        new = list(words.difference(self))
+        for k in range(0, len(new), 2048):
+            part = new[k : k + 2048]
+            # One call for many words, told apart by where their characters stand.
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
+            cut = np.searchsorted(at, begins) * 2
+            raw = np.array(found.ids, "<u2").tobytes()
+            for w, b, e in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                self[w] = raw[b:e]
 
     def ids(self, texts: list[str | None]):
         """For each text its ids as such bytes."""
         for k in range(0, len(texts), 256):
             split = [[w for w in _SPACE.split(t) if w] if _ODD.search(t) else t.split() for t in ((t or "") for t in texts[k : k + 256])]
-            self.learn({w for words in split for w in words})
+            words = set().union(*split)
+            if new := words.difference(self):
+                self.learn(words if len(self) + len(new) > CACHE else new)
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
 
@@ -98,61 +122,60 @@ def get(root: str, name: str) -> pa.NativeFile:
     return fs.open_input_file(f"{path}/{name}")
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id is written. The result is bounded by the vocabulary."""
+def tokenised(batches, words: WordIds, end_id: int, counts: np.ndarray, totals: dict):
+    """Yields the documents of a partition as chunks of compressed ids; ``counts`` and ``totals`` are filled on the way.
 
-    def count(batches):
-        words, total = WordIds(tokenizer), None
-        total = np.zeros(words.size, np.int64)
-        for batch in batches:
-            for b in words.ids(batch["text"].to_pylist()):
-                total += np.bincount(np.frombuffer(b, "<u2"), minlength=len(total)) if len(b) > len(total) else 0
-                if len(b) <= len(total):
-                    np.add.at(total, np.frombuffer(b, "<u2"), 1)
-            total[end_id] += batch.num_rows
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["id", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << 16, np.int64)
-    for r in rows:
-        out[r.id] = r.n
-    return out
-
-
-def encoded_file(table: rans.Table, batches, words: WordIds, end_id: int, totals: dict):
-    """Yields the bytes of one file; ``totals`` gets n_ids and n_docs."""
-    yield b"LTOK\x01\x00\x00\x00"
-    at, held, waiting, n_ids = 8, [], 0, 0
+    A chunk has its documents' ids, which of those are null, their lengths and all their token ids.
+    """
     end = np.array([end_id], "<u2").tobytes()
-    doc_ids: list[int | None] = []
-    lengths: list[int] = []
+    totals |= {"n_ids": 0, "n_docs": 0}
+    for batch in batches:
+        doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+        for k in range(0, len(texts), CHUNK):
+            parts = [b + end for b in words.ids(texts[k : k + CHUNK])]
+            own = doc_ids[k : k + CHUNK]
+            ids = b"".join(parts)
+            counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=len(counts))
+            totals["n_ids"] += len(ids) // 2
+            totals["n_docs"] += len(own)
+            raw = np.array([0 if d is None else d for d in own], "<i8").tobytes() + np.array([d is None for d in own], "u1").tobytes() + np.array([len(p) // 2 for p in parts], "<u8").tobytes() + ids
+            packed = pa.compress(raw, codec="zstd", asbytes=True)
+            yield struct.pack("<QQQ", len(own), len(raw), len(packed)) + packed
+
+
+def read_chunks(f: pa.NativeFile):
+    """(doc ids, which are null, lengths, ids) of each chunk."""
+    while head := f.read(24):
+        n, size, packed = struct.unpack("<QQQ", head)
+        raw = pa.decompress(f.read(packed), decompressed_size=size, codec="zstd", asbytes=True)
+        yield np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "u1", n, 8 * n), np.frombuffer(raw, "<u8", n, 9 * n), np.frombuffer(raw, "<u2", -1, 17 * n)
+
+
+def encoded_file(table: rans.Table, chunks):
+    """Yields the bytes of one file."""
+    yield b"LTOK\x01\x00\x00\x00"
+    at, n_ids, waiting = 8, 0, np.zeros(0, "<u2")
+    docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     points: list[tuple[int, int]] = []
 
-    def blocks(final: bool):
-        nonlocal at, held, waiting, n_ids
-        ids = np.frombuffer(b"".join(held), "<u2")
-        k = 0
-        while len(ids) - k >= rans.BLOCK or final and k < len(ids):
-            raw = table.encode(ids[k : k + rans.BLOCK])
-            points.append((at, n_ids))
-            at, n_ids, k = at + len(raw), n_ids + min(rans.BLOCK, len(ids) - k), k + rans.BLOCK
-            yield raw
-        held, waiting = [ids[k:].tobytes()], max(0, len(ids) - k)
-
-    for batch in batches:
-        doc_ids += batch["doc_id"].to_pylist()
-        for b in words.ids(batch["text"].to_pylist()):
-            held += (b, end)
-            lengths.append(len(b) // 2 + 1)
-            waiting += lengths[-1]
-            if waiting >= 2 * rans.BLOCK:
-                yield from blocks(False)
-    yield from blocks(True)
-    index = struct.pack("<QQ", len(points), len(lengths)) + np.array(points, "<u8").tobytes() + np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    index += np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u8").tobytes()
+    def block(ids: np.ndarray) -> bytes:
+        nonlocal at, n_ids
+        raw = table.encode(ids)
+        points.append((at, n_ids))
+        at, n_ids = at + len(raw), n_ids + len(ids)
+        return raw
+
+    for doc_ids, nulls, lengths, ids in chunks:
+        docs.append((doc_ids, nulls, lengths))
+        waiting = np.concatenate([waiting, ids])
+        while len(waiting) >= rans.BLOCK:
+            yield block(waiting[: rans.BLOCK])
+            waiting = waiting[rans.BLOCK :]
+    if len(waiting):
+        yield block(waiting)
+    doc_ids, nulls, lengths = (np.concatenate(x) for x in zip(*docs, strict=True))
+    index = struct.pack("<QQ", len(points), len(lengths)) + np.array(points, "<u8").tobytes() + doc_ids.tobytes() + nulls.tobytes() + lengths.tobytes()
     index = zlib.compress(index, 6)
-    totals |= {"n_ids": n_ids, "n_docs": len(lengths)}
     yield index + struct.pack("<QI", len(index), zlib.crc32(index)) + b"LEND"
 
 
@@ -186,31 +209,48 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, *, end_id: int = EN
     """Writes all documents (columns doc_id, text) under ``root``: (file, ids, documents) in order, a row per file."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = rans.Table.of(count_ids(docs, tokenizer, end_id))
-    put(root, "table.bin", [table.dump()])
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
-    def write(batches):
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
+    def tokenise(batches):
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        name = f"part-{TaskContext.get().partitionId():06d}.ltok"
-        with get(root, "table.bin") as f:
-            shared = rans.Table.load(f.read())
 
         def rest():
             yield first
             yield from batches
 
-        totals: dict = {}
-        put(root, name, encoded_file(shared, rest(), WordIds(tokenizer), end_id, totals))
-        yield pa.RecordBatch.from_pydict({"file": [name], "n_ids": [totals["n_ids"]], "n_docs": [totals["n_docs"]]})
-
-    rows = dealt.mapInArrow(write, "file string, n_ids long, n_docs long").collect()
-    return sorted((r.file, r.n_ids, r.n_docs) for r in rows)
+        name, counts, totals = f"part-{TaskContext.get().partitionId():06d}", np.zeros(1 << 16, np.int64), {}
+        put(root, f"{name}.ids", tokenised(rest(), WordIds.of(tokenizer), end_id, counts, totals))
+        seen = np.flatnonzero(counts)
+        none = pa.nulls(len(seen), pa.int64())
+        yield pa.RecordBatch.from_pydict({"file": [name], "n_ids": [totals["n_ids"]], "n_docs": [totals["n_docs"]], "id": pa.array([None], pa.int32()), "n": pa.array([None], pa.int64())})
+        yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none, none, pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["file", "n_ids", "n_docs", "id", "n"])
+
+    made = stored(dealt.mapInArrow(tokenise, "file string, n_ids long, n_docs long, id int, n long"), "made", root)
+    counts = np.zeros(1 << 16, np.int64)
+    for r in made.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
+        counts[r.id] = r.n
+    put(root, "table.bin", [rans.Table.of(counts).dump()])
+    rows = sorted((r.file, r.n_ids, r.n_docs) for r in made.filter("file is not null").select("file", "n_ids", "n_docs").collect())
+
+    def encode(batches):
+        with get(root, "table.bin") as f:
+            table = rans.Table.load(f.read())
+        for batch in batches:
+            for name in batch["file"].to_pylist():
+                with get(root, f"{name}.ids") as f:
+                    put(root, f"{name}.ltok", encoded_file(table, read_chunks(f)))
+            yield batch
+
+    if rows:
+        names = spark.createDataFrame([(k, n) for k, (n, *_) in enumerate(rows)], "no int, file string").repartition(len(rows), "no").select("file")
+        names.mapInArrow(encode, "file string").count()
+        fs, path = place(root)
+        for name, *_ in rows:  # what was kept for the second step
+            fs.delete_file(f"{path}/{name}.ids")
+    return [(f"{name}.ltok", n_ids, n_docs) for name, n_ids, n_docs in rows]
 
 
 def read_tokens(spark: SparkSession, root: str, files: list[tuple[str, int, int]]) -> DataFrame:
