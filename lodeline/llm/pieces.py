@@ -4,7 +4,8 @@ A text is segmented over the lattice of a model's pieces: forward Viterbi gives
 scores are the exact heuristic of a backward A* search from the end, which so yields segmentations in
 order of score. No piece continues over the start of a word (a space after another character), which is
 checked when the model is loaded, so the lattice of a text is a chain of the lattices of its words: each word is
-searched once and remembered, and the n best of a text change only the words with the least gaps.
+searched once and remembered, and the n best of a text change only the words with the least gaps between their two best
+scores, which the forward pass gives; those words alone are searched by A*.
 
 Scores are whole numbers, so sums are exact. A model of merge ranks (BPE) has no probabilities; its pieces get those
 of Zipf's law by rank. A character without a piece is written as its UTF-8 bytes. A text is preceded by a space as the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT = 1 << 16
 BEST = 3
-CACHE = 200_000
+CACHE = 250_000
 LONG = 200
 
 
@@ -65,7 +66,9 @@ class Pieces:
             self.text[i] = bytes([b])
         cut = "" if any("\n" in p and len(p) > 1 for p in self.score) else "\n"
         self.word = re.compile(f"{cut}|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" if cut else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.starts = {p[:k] for p in self.score for k in range(1, len(p))}
         self.cache: dict[str, tuple[bytes, int, int]] = {}
+        self.old: dict[str, tuple[bytes, int, int]] = {}
         self.more: dict[tuple[str, int], list[tuple[int, list[int]]]] = {}
 
     def edges(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
@@ -88,10 +91,10 @@ class Pieces:
         best = [0] + [None] * len(word)
         for end in range(1, len(word) + 1):
             best[end] = max((best[b] + s for b, s, _ in edges[end]), default=None)
-        heap = [(-best[-1], 0, len(word), 0, None)]
+        heap = [(-best[-1], len(word), 0, 0, None)]  # among equal scores the path that has come farthest goes on
         found, made = [], 0
         while heap and len(found) < n:
-            cost, _, at, tail, path = heapq.heappop(heap)
+            cost, at, _, tail, path = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -101,19 +104,62 @@ class Pieces:
                 continue
             for b, s, ids in edges[at]:
                 made += 1
-                heapq.heappush(heap, (-(best[b] + s + tail), made, b, tail + s, (ids, path)))
+                heapq.heappush(heap, (-(best[b] + s + tail), b, made, tail + s, (ids, path)))
         return found
 
+    def two_best(self, word: str) -> tuple[list[int], int, int]:
+        """(ids of the best segmentation, its score, score of the second or -1 below the best's range) by Viterbi with two scores a place."""
+        get, starts, n, low = self.score.get, self.starts, len(word), -(1 << 60)
+        best, second = [low] * (n + 1), [low] * (n + 1)
+        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
+        best[0] = 0
+        for begin in range(n):
+            first, other = best[begin], second[begin]
+            found = get(word[begin])
+            if found is None:
+                raw = word[begin].encode("utf-8", "surrogatepass")
+                found = (self.fallback * len(raw), tuple(self.bytes[b] for b in raw))
+            end = begin + 1
+            while True:
+                if found is not None:
+                    s, ids = found
+                    x = first + s
+                    if x > best[end]:
+                        second[end] = max(best[end], other + s)
+                        best[end], back[end] = x, (begin, ids)
+                    elif x > second[end]:
+                        second[end] = x
+                if end >= n or word[begin:end] not in starts:
+                    break
+                end += 1
+                found = get(word[begin:end])
+        ids, at = [], n
+        while at:
+            at, own = back[at]
+            ids.append(own)
+        return [i for own in reversed(ids) for i in (own if isinstance(own, tuple) else (own,))], best[n], second[n]
+
     def learn(self, word: str) -> tuple[bytes, int, int]:
-        """(ids, best score, gap to the second best or -1) of a word."""
-        two = self.n_best(word, 2)
-        out = (np.array(two[0][1], "<u2").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
+        """(ids, best score, gap to the second best or -1) of a word. Words met lately are kept in two generations."""
+        out = self.old.get(word)
+        if out is None:
+            ids, score, second = self.two_best(word)
+            out = (np.array(ids, "<u2").tobytes(), score, score - second if second > -(1 << 59) else -1)
         if len(word) <= LONG:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
             self.cache[word] = out
         return out
 
+    shared: dict[str, Pieces] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Pieces:
+        """This process's own; Spark's Python workers serve many tasks."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
     def words(self, text: str) -> list[str]:
         return self.word.findall(SPACE + text.replace(" ", SPACE))
 
@@ -127,7 +173,7 @@ class Pieces:
 
     def _chain(self, words: list[str], n: int) -> tuple[bytes, list[int]]:
         cache, learn = self.cache, self.learn
-        infos = [cache.get(w) or learn(w) for w in words]
+        infos = [cache.get(w) or learn(w) for w in words]  # a cache that is full goes on to serve this text
         total = sum([x[1] for x in infos])
         scores = [total]
         if n > 1:
@@ -178,7 +224,7 @@ def encode_documents(docs: DataFrame, model: str, *, text: str = "text", doc_id:
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.int64())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = Pieces.of(model)
         for batch in batches:
             rows = []
             for t in batch["text"].to_pylist():
