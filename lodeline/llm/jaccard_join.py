@@ -38,9 +38,9 @@ from .shared import scratch_dir, stored
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
 #: Slots of the table of counts, the ranges it is summed in, and shingles that a task gathers before it sums its own.
-SLOTS, RANGES, GATHER = 1 << 24, 16, 3_000_000
+SLOTS, RANGES, GATHER = 1 << 24, 16, 1_000_000
 BROADCAST_BYTES = 64 << 20
-CACHE = 400_000
+CACHE = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROLL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -51,6 +51,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parts_of(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in smaller ones, so that what is made of it stays small."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when full."""
 
@@ -121,7 +127,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         known, slots, held = WordHashes(), [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             nodes, sizes = [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, known)
@@ -174,7 +180,7 @@ def postings(docs: DataFrame, rarity) -> DataFrame:
 
     def run(batches):
         known, given, table = WordHashes(), set(), rarity.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             tokens, nodes, sizes, places = [], [], [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, known)
@@ -281,7 +287,7 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, root: str, na
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             made = [shingles(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
 
