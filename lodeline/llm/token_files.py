@@ -40,7 +40,7 @@ from .shared import scratch_dir, stored
 
 END_ID = 2
 #: Words of a generation; documents of a chunk.
-CACHE, CHUNK = 350_000, 256
+CACHE, CHUNK = 700_000, 256
 _ODD = re.compile("[\x1c-\x1f]")
 #: What the tokenizer takes for white space; Python's split() differs by the characters above alone.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -71,25 +71,37 @@ class WordIds(dict):
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("this format has ids of 16 bits")
+        self.marks: dict[str, bytes] = {}
+        self.encode([".", ","], self.marks)
 
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > CACHE:
             self.old = dict(self)
             self.clear()
-        again = words.intersection(self.old)
-        for w in again:
+        for w in words.intersection(self.old):
             self[w] = self.old[w]
-        new = list(words.difference(self))
+        # A Latin word of letters alone reads as in lower case, and a point or comma after it is a token of its own.
+        simple: dict[str, tuple[str, bytes]] = {}
+        for w in words.difference(self):
+            base, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in self.marks else (w, b"")
+            simple[w] = (base.lower(), mark) if base.isalpha() and max(base) < "\u0250" else (w, b"")
+        bases = {b for b, _ in simple.values()}
+        known = {b: x for b in bases if (x := self.get(b) or self.old.get(b)) is not None}
+        self.encode(list(bases.difference(known)), known)
+        for w, (b, mark) in simple.items():
+            self[w] = known[b] + mark if mark else known[b]
+
+    def encode(self, new: list[str], out: dict[str, bytes]) -> None:
+        """Ids of words, in one call for many; words are told apart by where their characters stand."""
         for k in range(0, len(new), 2048):
             part = new[k : k + 2048]
-            # One call for many words, told apart by where their characters stand.
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
             at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
             cut = np.searchsorted(at, begins) * 2
             raw = np.array(found.ids, "<u2").tobytes()
             for w, b, e in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self[w] = raw[b:e]
+                out[w] = raw[b:e]
 
     def ids(self, texts: list[str | None]):
         """For each text its ids as such bytes."""
