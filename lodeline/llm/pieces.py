@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT = 1 << 16
 BEST = 3
-CACHE = 250_000
+CACHE = 500_000
 LONG = 200
 
 
