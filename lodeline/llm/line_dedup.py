@@ -1,12 +1,16 @@
 """Line dedup as an exact set-similarity join, in DataFrame expressions alone.
 
-A line's set is its distinct lower-cased words. A line of ``LEAST_WORDS`` different words or more goes if its set has
-a Jaccard similarity of 0.8 or more with that of an earlier line; lines are in the order of (doc_id, hash of the text,
-line number). Shorter lines stay.
+A line's set is its distinct lower-cased words. A line goes if its set has a Jaccard similarity of 0.8 or more with
+that of an earlier line; lines are in the order of (doc_id, hash of the text, line number). Lines without words
+stay. ``later_lines`` looks at lines from ``least_words`` different words on, ``dedup`` at all that have a word.
+
+Sets of up to four words are similar only if they are equal, or if one of four lies in one of five. So
+lines of up to four words are grouped by the hash of their set, and a line of five joins the groups of its five
+subsets of four; whether a line goes follows from the earliest places of each size in its groups, without pairs.
 
 Words are 64-bit keys: their rarity class (power of two of the count of all words in their hash slot, over the
 whole table) in the high bits, their hash below, so sorting keys is rarest-first and equal keys are equal words.
-Of n words the first n - ceil(0.8 n) + k hold the first k words shared with any similar line (prefix filter); each k of
+Of five words and more the first n - ceil(0.8 n) + k hold the first k words shared with any similar line (prefix filter); each k of
 them make a signature, k larger for shorter lines, by the length of the shorter line of a pair. At a
 signature whose last word stands at i and j the overlap is k + min(n - i - 1, m - j - 1) at most for the pair's first
 shared words (positional filter); lengths differ by a fifth at most (length filter). Pairs are verified once.
@@ -33,6 +37,7 @@ from .shared import SPACE, scratch_dir, stored
 
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
+#: ``later_lines`` starts here unless told otherwise; sets of fewer words have signatures of the whole set (k = 0).
 LEAST_WORDS = 5
 SLOTS = 1 << 14
 SMALL = 24
@@ -72,8 +77,8 @@ def words_in_signature(n: Column) -> Column:
     return F.when(n < LENGTHS[0], 3).when(n < LENGTHS[1], 2).otherwise(1)
 
 
-def signatures(keys: Column, n: str) -> Column:
-    """array<struct<sig, k, pos>> of a line with ``keys`` of length ``n``."""
+def signatures(keys: Column, n: str, short: bool = False) -> Column:
+    """array<struct<sig, k, pos>> of a line with ``keys`` of length ``n``; ``short``: lines under ``LEAST_WORDS`` words are met too."""
     last = lambda i: i.cast("int")
 
     def prefix(k: int) -> Column:
@@ -89,7 +94,11 @@ def signatures(keys: Column, n: str) -> Column:
     none = F.array().cast("array<struct<sig:bigint,k:int,pos:int>>")
     own, shorter = words_in_signature(F.col(n)), words_in_signature(needed(n))
     parts = [F.when((own == k) | (shorter == k), x).otherwise(none) for k, x in ((1, one), (2, two), (3, three))]
-    return F.concat(*parts)
+    if not short:
+        return F.concat(*parts)
+    whole = F.array(made(0, F.lit(0), keys))
+    fours = F.transform(keys, lambda _, i: made(0, i, F.filter(keys, lambda _, j: i != j)))
+    return F.when(F.col(n) < LEAST_WORDS, whole).when(F.col(n) == LEAST_WORDS, F.concat(*parts, fours)).otherwise(F.concat(*parts))
 
 
 def passing(n: str, i: str, m: str, j: str, k: str) -> Column:
@@ -112,8 +121,17 @@ def verified(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return both.filter(common * DEN >= (F.size("mine") + F.size("theirs") - common) * NUM).select("lid").distinct()
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
+def later_short(shared: DataFrame) -> DataFrame:
+    """Of lines with signatures of the whole set those (lid) that go: an equal set, or four of five words, came earlier."""
+    sets = shared.filter("k = 0")
+    few = F.col("n") < LEAST_WORDS
+    earliest = sets.groupBy("sig").agg(F.min(F.when(few, F.col("place"))).alias("few"), F.min(F.when(~few, F.col("place"))).alias("five"))
+    return sets.join(earliest, "sig").filter((F.col("few") < F.col("place")) | (few & (F.col("five") < F.col("place")))).select("lid").distinct()
+
+
+def later_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows (doc_id, text_hash, removed): the line numbers that go, of texts (doc_id, text) that lose any."""
+    least_words, small = max(1, least_words), least_words < LEAST_WORDS
     spark = docs.sparkSession
     root = scratch_dir(spark)
     classes = rarity_classes(docs)
@@ -122,8 +140,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     total = first.agg(F.sum("copies")).first()[0] or 0
     hot = first.filter(F.col("copies") > max(SMALL, HOT * total)).select("lid", F.col("place").alias("only"))
     wanted = lines.join(F.broadcast(hot), "lid", "left").filter("only is null or only = place")
-    sets = wanted.select("lid", keys_of(F.col("line"), classes).alias("keys")).withColumn("n", F.size("keys")).filter(F.col("n") >= LEAST_WORDS)
-    flat = sets.select("lid", "n", F.explode_outer(signatures(F.col("keys"), "n")).alias("s")).select(F.col("s.sig").alias("sig"), "lid", "n", F.col("s.k").alias("k"), F.col("s.pos").alias("pos"))
+    sets = wanted.select("lid", keys_of(F.col("line"), classes).alias("keys")).withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
+    flat = sets.select("lid", "n", F.explode_outer(signatures(F.col("keys"), "n", small)).alias("s")).select(F.col("s.sig").alias("sig"), "lid", "n", F.col("s.k").alias("k"), F.col("s.pos").alias("pos"))
     # Rows of a signature that lines share; the rest are most of all and end here.
     along = Window.partitionBy("sig").orderBy("lid")
     near = flat.withColumn("before", F.lag("lid").over(along)).withColumn("after", F.lead("lid").over(along)).filter("sig is not null")
@@ -131,8 +149,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     shared = near.select("sig", "lid", "n", "k", "pos").join(first.select("lid", "place"), "lid")
     heads = F.struct("place", "lid", "n", "pos")
     shared = stored(shared, "shared", root)
-    counted = shared.groupBy("sig").agg(F.count("*").alias("c"), F.min(heads).alias("head")).filter("c > 1")
-    lists = stored(shared.join(counted, "sig").withColumn("long", F.col("c") > SMALL).drop("c"), "lists", root)
+    listed = shared.filter("k > 0")
+    counted = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min(heads).alias("head")).filter("c > 1")
+    lists = stored(listed.join(counted, "sig").withColumn("long", F.col("c") > SMALL).drop("c"), "lists", root)
     short = lists.filter("not long")
     earlier = short.select("sig", F.col("lid").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("place").alias("then"))
     in_short = short.join(earlier, "sig").filter("then < place and lid <> earlier").filter(passing("n", "pos", "m", "at", "k")).select("lid", "earlier")
@@ -146,7 +165,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
         rest = lists.filter("long").select("sig", F.col("lid").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("place").alias("then"))
         more = left.join(rest, "sig").filter("then < place and lid <> earlier").filter(passing("n", "pos", "m", "at", "k")).select("lid", "earlier").distinct()
         matched = matched.unionByName(stored(verified(more.join(pairs, ["lid", "earlier"], "left_anti"), keys), "matched-more", root))
-    long_enough = F.size(F.array_distinct(words_of(F.col("line")))) >= LEAST_WORDS
+    if small:
+        matched = matched.unionByName(stored(later_short(shared), "matched-short", root))
+    long_enough = F.size(F.array_distinct(words_of(F.col("line")))) >= least_words
     fate = first.filter("copies > 1").select("lid", F.col("place").alias("only")).join(matched.distinct().withColumn("gone", F.lit(True)), "lid", "full")
     doomed = lines.filter(long_enough).select("lid", "place").join(fate, "lid").filter("gone or place <> only")
     return doomed.groupBy("place.doc_id", "place.text_hash").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
@@ -164,7 +185,7 @@ def keys_again(docs: DataFrame, lines: DataFrame, classes: list[int]) -> DataFra
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` in a struct ``doc``, its text without later lines as ``kept_text``, and ``n_lines``, ``n_removed``."""
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    gone = later_lines(narrow).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
+    gone = later_lines(narrow, least_words=1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
     rows = docs.select(F.struct("*").alias("doc")).select("doc", F.col(f"doc.`{doc_id}`").alias("_doc_id"), F.col(f"doc.`{text}`").alias("_text"))
     joined = rows.join(gone, rows["_doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64("_text") == gone["_hash"]), "left")
     lines = F.split("_text", "\n")

@@ -331,6 +331,36 @@ def test_line_dedup(spark, sf):
         assert got == brute_lines([(r.doc_id, r.text) for r in df.collect()])
 
 
+def brute_all_lines(docs):
+    """Line numbers that go by (doc_id, text), lines of few words among them; ``docs`` in the order of places."""
+    inv, sets, out = collections.defaultdict(list), [], {}
+    for i, t in docs:
+        gone = []
+        for no, line in enumerate(t.split("\n")):
+            s = {w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w}
+            if any(5 * k >= 4 * (len(s) + len(sets[j]) - k) for j, k in collections.Counter(j for w in s for j in inv[w]).items()):
+                gone.append(no)
+            for w in s:
+                inv[w].append(len(sets))
+            sets.append(s)
+        if gone:
+            out[i] = gone
+    return out
+
+
+def test_line_dedup_short(spark, sf):
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(9)]
+    made = [(i, "\n".join(" ".join(rng.choice(voc) for _ in range(rng.randrange(8))) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    made += [(90, "a b c d"), (91, "e d c b a"), (92, "p q r s t"), (93, "T  p r q"), (94, "q r s t t"), (95, "日本語の長い行"), (96, "日本語の長い行\n \n\n"), (97, "x"), (98, "x X\nx y\ny x x")]
+    for df in (spark.createDataFrame(made, "doc_id long, text string").repartition(4), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")):
+        want = brute_all_lines(sorted((r.doc_id, r.text) for r in df.collect()))
+        got = {r.doc_id: r.removed for r in line_dedup.later_lines(df, least_words=1).collect()}
+        assert got == want
+        lost = {r["doc"].doc_id: r.n_removed for r in line_dedup.dedup(df).collect() if r.n_removed}
+        assert lost == {i: len(x) for i, x in want.items()}
+
+
 def test_line_dedup_odd(spark):
     got = {(r["doc"].doc_id, r.kept_text) for r in line_dedup.dedup(odd(spark)).collect()}
     assert (1, None) in got and (2, "") in got and (5, "") in got and (0, "a b c d e f") in got
