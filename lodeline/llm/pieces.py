@@ -5,7 +5,9 @@ scores are the exact heuristic of a backward A* search from the end, which so yi
 order of score. No piece continues over the start of a word (a space after another character), which is
 checked when the model is loaded, so the lattice of a text is a chain of the lattices of its words: each word is
 searched once and remembered, and the n best of a text change only the words with the least gaps between their two best
-scores, which the forward pass gives; those words alone are searched by A*.
+scores, which the forward pass gives; those words alone are searched by A*, and each of the n best segmentations takes
+their ids from what the search yields. Elsewhere all n are alike and have the forward pass's best: its back pointers
+keep the longest last piece among equal scores, as the search does, so both give one best segmentation.
 
 Scores are whole numbers, so sums are exact. A model of merge ranks (BPE) has no probabilities; its pieces get those
 of Zipf's law by rank. A character without a piece is written as its UTF-8 bytes. A text is preceded by a space as the
@@ -14,7 +16,8 @@ model asks; the character that stands for a space is itself written as bytes, so
 A text is one row and needs no other: encoding is a map over Arrow batches, without a shuffle.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; equal texts have equal pieces;
-among equal scores the segmentation found first (longer last pieces) wins; an empty table gives an empty result;
+among equal scores the segmentation found first (longer last pieces) wins, and between those of a text the one that changes
+less in the words searched first (least gap, then place); a text with fewer than n segmentations has those; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -69,7 +72,7 @@ class Pieces:
         self.starts = {p[:k] for p in self.score for k in range(1, len(p))}
         self.cache: dict[str, tuple[bytes, int, int]] = {}
         self.old: dict[str, tuple[bytes, int, int]] = {}
-        self.more: dict[tuple[str, int], list[tuple[int, list[int]]]] = {}
+        self.more: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
 
     def edges(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end the pieces that end there: (begin, score, ids)."""
@@ -165,52 +168,70 @@ class Pieces:
 
     def encode(self, text: str | None, n: int = BEST) -> tuple[bytes, list[int]]:
         """The best segmentation as bytes of little-endian unsigned 16-bit ids, and the scores of the n best."""
+        found = self.segmentations(text, n)
+        return found[0][1], [score for score, _ in found]
+
+    def segmentations(self, text: str | None, n: int = BEST) -> list[tuple[int, bytes]]:
+        """The n best segmentations, (score, ids as bytes of little-endian unsigned 16-bit integers) from the best on."""
         if not text:
-            return b"", [0]
+            return [(0, b"")]
         if SPACE in text:
             return self._with_marks(text, n)
         return self._chain(self.words(text), n)
 
-    def _chain(self, words: list[str], n: int) -> tuple[bytes, list[int]]:
+    def _chain(self, words: list[str], n: int) -> list[tuple[int, bytes]]:
         cache, learn = self.cache, self.learn
         infos = [cache.get(w) or learn(w) for w in words]  # a cache that is full goes on to serve this text
         total = sum([x[1] for x in infos])
-        scores = [total]
-        if n > 1:
-            gaps = np.array([x[2] for x in infos])
-            open_ = np.flatnonzero(gaps >= 0)
-            # A text's n best change at most those words whose gaps are among the n - 1 least.
-            at = open_[np.argsort(gaps[open_], kind="stable")[: n - 1]]
-            losses = [0]
-            for k in at:
-                alternatives = self._losses(words[k], n)
-                losses = heapq.nsmallest(n, [a + b for a in losses for b in alternatives])
-            scores = [total - x for x in losses]
-        return b"".join([x[0] for x in infos]), scores
-
-    def _losses(self, word: str, n: int) -> list[int]:
+        parts = [x[0] for x in infos]
+        if n < 2:
+            return [(total, b"".join(parts))]
+        gaps = np.array([x[2] for x in infos])
+        open_ = np.flatnonzero(gaps >= 0)
+        # A text's n best change at most those words whose gaps are among the n - 1 least.
+        at = open_[np.argsort(gaps[open_], kind="stable")[: n - 1]].tolist()
+        others = [self._alternatives(words[k], n) for k in at]
+        chosen: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        for own in others:
+            chosen = heapq.nsmallest(n, [(loss + more, (*path, i)) for loss, path in chosen for i, (more, _) in enumerate(own)])
+        order = sorted(range(len(at)), key=at.__getitem__)
+        between, begin = [], 0
+        for x in order:
+            between.append(b"".join(parts[begin : at[x]]))
+            begin = at[x] + 1
+        rest = b"".join(parts[begin:])
+        return [(total - loss, b"".join([y for x, same in zip(order, between, strict=True) for y in (same, others[x][path[x]][1])]) + rest) for loss, path in chosen]
+
+    def _alternatives(self, word: str, n: int) -> list[tuple[int, bytes]]:
+        """The n best segmentations of a word by A*: (loss against the best, ids)."""
         if (word, n) not in self.more:
             if len(self.more) >= CACHE:
                 self.more.clear()
             found = self.n_best(word, n)
-            self.more[word, n] = [found[0][0] - s for s, _ in found]
+            self.more[word, n] = [(found[0][0] - s, np.array(ids, "<u2").tobytes()) for s, ids in found]
         return self.more[word, n]
 
-    def _with_marks(self, text: str, n: int) -> tuple[bytes, list[int]]:
+    def _with_marks(self, text: str, n: int) -> list[tuple[int, bytes]]:
         """A text that holds the mark of a space: the mark goes as bytes, what stands between is segmented."""
         raw = SPACE.encode()
         mark = np.array([self.bytes[b] for b in raw], "<u2").tobytes()
-        out, scores = b"", [0]
+        # Only the choices are kept while parts are added, so ids are put together once.
+        marks, chains = 0, []
+        chosen: list[tuple[int, tuple | None]] = [(0, None)]
         for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out += mark
-                scores = [s + self.fallback * len(raw) for s in scores]
             words = self.words(part) if not k else self.word.findall(part.replace(" ", SPACE))
-            if words:
-                ids, more = self._chain(words, n)
-                out += ids
-                scores = heapq.nlargest(n, [a + b for a in scores for b in more])
-        return out, scores
+            marks += k > 0
+            chains.append(self._chain(words, n) if words else [(0, b"")])
+            ways = [(score + more, (i, path)) for score, path in chosen for i, (more, _) in enumerate(chains[-1])]
+            chosen = heapq.nlargest(n, ways, key=lambda x: x[0])
+        out = []
+        for score, path in chosen:
+            picked = []
+            for chain in reversed(chains):
+                i, path = path
+                picked.append(chain[i][1])
+            out.append((score + marks * self.fallback * len(raw), mark.join(reversed(picked))))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the space in front."""
@@ -220,22 +241,27 @@ class Pieces:
 
 
 def encode_documents(docs: DataFrame, model: str, *, text: str = "text", doc_id: str = "doc_id", best: int = BEST) -> DataFrame:
-    """Per row: doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 16-bit integers), scores of the ``best`` best, decoded_sha256, round_trip."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.int64())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+    """Per row: doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 16-bit integers), scores of the ``best`` best, decoded_sha256, round_trip,
+    and of each of the ``best`` best in the order of ``scores``: best_n_pieces, best_ids_crc32, best_round_trips."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.int64())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()),
+         ("best_n_pieces", pa.list_(pa.int64())), ("best_ids_crc32", pa.list_(pa.int64())), ("best_round_trips", pa.list_(pa.bool_()))]
+    )
 
     def run(batches):
         pieces = Pieces.of(model)
         for batch in batches:
             rows = []
             for t in batch["text"].to_pylist():
-                ids, scores = pieces.encode(t, best)
-                back = pieces.decode(ids)
-                rows.append((len(ids) // 2, zlib.crc32(ids), scores, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                found = pieces.segmentations(t, best)
+                back = [pieces.decode(ids) for _, ids in found]
+                n, crc, same = [len(ids) // 2 for _, ids in found], [zlib.crc32(ids) for _, ids in found], [b == (t or "") for b in back]
+                rows.append((n[0], crc[0], [s for s, _ in found], hashlib.sha256(back[0].encode("utf-8", "surrogatepass")).hexdigest(), same[0], n, crc, same))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<long>, decoded_sha256 string, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<long>, decoded_sha256 string, round_trip boolean, best_n_pieces array<long>, best_ids_crc32 array<long>, best_round_trips array<boolean>")
 
 
 def default_model() -> str:

@@ -204,6 +204,41 @@ def test_pieces_round_trip(spark, sf, model):
     assert pieces.encode_documents(odd(spark, True), pieces.default_model()).count() == 0
 
 
+def test_segmentations(spark, sf, model):
+    def every(t):
+        edges, out = model.edges(t), []
+
+        def go(at, score, ids):
+            if not at:
+                out.append((score, np.array(ids, "<u2").tobytes()))
+            for b, s, own in edges[at]:
+                go(b, score + s, [*own, *ids])
+
+        go(len(t), 0, [])
+        return out
+
+    for t in ("the cat", "Hello  wor", "the the the", "日本語 x", "\t é€", "thndr", "a"):
+        found, whole = model.segmentations(t, 6), every("▁" + t.replace(" ", "▁"))
+        assert [s for s, _ in found] == sorted((s for s, _ in whole), reverse=True)[:6]
+        assert len(set(found)) == len(found) and set(found) <= set(whole)
+        assert (found[0][1], [s for s, _ in found]) == model.encode(t, 6)
+    value = {i: s for s, i in model.score.values()} | {i: model.fallback for i in model.bytes}
+    for t in ("▁", " ▁ a cat▁▁bat ", "one▁two three"):
+        found = model.segmentations(t, 5)
+        assert len(found) == len(set(found)) and found[0][1] == model.encode(t)[0]
+        for score, ids in found:
+            assert model.decode(ids) == t and score == sum(value[i] for i in np.frombuffer(ids, "<u2").tolist())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    for w in {w for d in docs for w in model.words(d.text or "") if len(w) <= 40}:
+        assert model.two_best(w)[0] == model.n_best(w, 1)[0][1]  # Viterbi's best is that of the search
+    rows = {r.doc_id: r for r in pieces.query(spark, sf).collect()}
+    for d in docs:
+        found, r = model.segmentations(d.text), rows[d.doc_id]
+        assert r.best_ids_crc32 == [zlib.crc32(ids) for _, ids in found] and r.best_n_pieces == [len(ids) // 2 for _, ids in found]
+        assert r.scores == [s for s, _ in found] and all(r.best_round_trips) and len(set(found)) == len(found)
+        assert all(s == sum(value[i] for i in np.frombuffer(ids, "<u2").tolist()) for s, ids in found)
+
+
 # --- 5 token files
 
 
