@@ -4,9 +4,11 @@ A text's words are the runs of ASCII letters, digits and non-ASCII characters of
 rolling word pairs of all texts are hashed and joined to the positions that those pairs have in the license
 templates. A hit at text position p and template position t votes for the diagonal p - t. Votes are gathered
 as bit masks per (text, template, diagonal) with partial aggregation, so a frequent pair never gathers in one
-task. Neighbouring diagonals (``SLACK`` apart: a word put in or left out) are merged. A phrase is a place where every
-pair of it voted on one diagonal; a template counts where at least ``COVER`` of its pairs (all, under ``LONG`` pairs) did on the merged
-diagonals. Phrases of this size (at most 63 pairs) need no further comparison than the 64-bit hashes that are
+task. A phrase, and a template of fewer than ``LONG`` pairs, is a place where every pair of it voted on one diagonal. For longer
+templates neighbouring diagonals (``SLACK`` apart: a word put in or left out) are merged where together they have ``COVER`` of the pairs,
+and the span is verified: a bit of a diagonal's mask is a pair of the template at a known place of the text, so the most pairs
+that follow each other in the template and in the text, each at most ``SLACK`` diagonals from the one before, are
+found by dynamic programming over the hits in text order; they must be ``COVER`` of all pairs. Phrases of this size (at most 63 pairs) need no further comparison than the 64-bit hashes that are
 seeded by both words.
 
 The template table is a fixed list below, which is why it may be broadcast: its size doesn't depend on the data.
@@ -83,6 +85,24 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, base boolean, n_pairs int")
 
 
+def longest_chain(votes: Column, n_pairs: Column, slack: int) -> Column:
+    """struct<n, start> of array<struct<diagonal, mask>>: the most hits in one order in template and text, and the diagonal of the first."""
+    places = lambda v: F.filter(F.sequence(F.lit(0), n_pairs.cast("int") - 1), lambda t: F.getbit(v["mask"], t) == 1)
+    hits = F.array_sort(F.flatten(F.transform(votes, lambda v: F.transform(places(v), lambda t: F.struct((v["diagonal"] + t).cast("long").alias("p"), t.cast("long").alias("t"))))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("start"))
+    begin = F.struct(none.alias("best"), F.array().cast("array<struct<p:bigint,t:bigint,n:bigint,start:bigint>>").alias("recent"))
+
+    def add(acc: Column, h: Column) -> Column:
+        recent = F.filter(acc["recent"], lambda x: x["p"] >= h["p"] - n_pairs - slack)
+        before = F.filter(recent, lambda x: (x["p"] < h["p"]) & (x["t"] < h["t"]) & (F.abs((h["p"] - h["t"]) - (x["p"] - x["t"])) <= slack))
+        top = F.array_max(F.transform(before, lambda x: F.struct((x["n"] + 1).alias("n"), x["start"].alias("start"))))
+        own = F.coalesce(top, F.struct(F.lit(1).cast("long").alias("n"), (h["p"] - h["t"]).alias("start")))
+        made = F.transform(F.array(own), lambda o: F.struct(F.greatest(acc["best"], o).alias("best"), F.concat(recent, F.array(F.struct(h["p"].alias("p"), h["t"].alias("t"), o["n"].alias("n"), o["start"].alias("start")))).alias("recent")))
+        return F.get(made, F.lit(0))
+
+    return F.aggregate(hits, begin, add, lambda acc: acc["best"])
+
+
 def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", cover: float = COVER, slack: int = SLACK) -> DataFrame:
     """Spans: doc_id, text_hash, template, label, base, start, coverage. One row per verified span."""
     spark = docs.sparkSession
@@ -93,15 +113,17 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", cover:
     votes = hits.groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.bit_or("bit").alias("mask"))
     votes = votes.join(F.broadcast(template_table(spark)), "template")
     full = F.bit_count("mask") == F.col("n_pairs")
-    base = votes.filter(F.col("base") & full).select("doc_id", "text_hash", "template", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"))
+    whole = F.col("base") | (F.col("n_pairs") < LONG)
+    exact = votes.filter(whole & full).select("doc_id", "text_hash", "template", "label", "base", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("coverage"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     group = F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)).over(along)
     merged = (
-        votes.filter(~F.col("base")).withColumn("group", group).groupBy("doc_id", "text_hash", "template", "label", "base", "group", "n_pairs")
-        .agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("start"))
-        .withColumn("coverage", F.bit_count("mask") / F.col("n_pairs")).filter(F.col("coverage") >= F.when(F.col("n_pairs") < LONG, 1.0).otherwise(cover))
-    )
-    return base.unionByName(merged.select(base.columns))
+        votes.filter(~whole).withColumn("group", group).groupBy("doc_id", "text_hash", "template", "label", "base", "group", "n_pairs")
+        .agg(F.bit_or("mask").alias("mask"), F.collect_list(F.struct("diagonal", "mask")).alias("votes"))
+        .filter(F.bit_count("mask") / F.col("n_pairs") >= cover).withColumn("chain", longest_chain(F.col("votes"), F.col("n_pairs"), slack))
+        .withColumn("start", F.col("chain.start")).withColumn("coverage", F.col("chain.n") / F.col("n_pairs")).filter(F.col("coverage") >= cover)
+    )
+    return exact.unionByName(merged.select(exact.columns))
 
 
 def label_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

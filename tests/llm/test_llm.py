@@ -300,6 +300,25 @@ def test_licenses(spark, sf):
     assert licenses.label_documents(odd(spark)).count() == len(ODD) and licenses.label_documents(odd(spark, True)).count() == 0
 
 
+def test_license_spans(spark):
+    long = next(t for t, label in licenses.TEMPLATES.items() if label == "bsd-text")
+    w = long.split()
+    texts = {
+        "all rights of ours, rights reserved": "",
+        "All rights reserved.": "all-rights-reserved",
+        "x " + long: "bsd-text",
+        " ".join(f"{w[t]} {w[t + 1]}" for t in reversed(range(len(w) - 1))): "",  # every pair, from the last to the first
+        " ".join([*w[:6], "very", "much", *w[6:12], *w[13:]]): "bsd-text",
+        " ".join([*w[:10], *["x"] * 9, *w[10:]]): "",
+        (long + " ") * 40: "bsd-text",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.label_documents(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    starts = {r.doc_id: r for r in licenses.scan(docs).filter("label = 'bsd-text' and doc_id in (2, 4)").collect()}
+    assert (starts[2].start, starts[2].coverage) == (1, 1.0) and starts[4].start == 0 and starts[4].coverage == 1 - 3 / (len(w) - 1)
+
+
 # --- 7 toxicity
 
 
