@@ -15,7 +15,7 @@ component are then held against the rest of their lists, by a join that keeps no
 between components is lost: the filters are exact and nothing is capped.
 
 Passes over texts: counts and membership; postings; sets of candidate nodes. Texts are not shuffled unless the ids of
-candidates are more than ``BROADCAST_BYTES``.
+candidates are more than ``shared.BROADCAST_BYTES``.
 
 Defined results: null or wordless texts have the empty set and link with nothing; texts of fewer than five
 words have their whole sequence as one shingle; rows of equal doc_id count as texts of their own with that
@@ -34,12 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import scratch_dir, stored
+from .shared import checked_broadcast, scratch_dir, stored
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
 #: Slots of the table of counts, the ranges it is summed in, and shingles that a task gathers before it sums its own.
 SLOTS, RANGES, GATHER = 1 << 24, 16, 1_000_000
-BROADCAST_BYTES = 64 << 20
 CACHE = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROLL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -273,11 +272,6 @@ def verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """A stored table with a hint to broadcast it if its rows are few enough, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, root: str, name: str) -> DataFrame:
     """Rows (node, s) of the sets of ``nodes``, made again from one document of each; some of other nodes may come along."""
     id_of = lambda c: F.coalesce(c, F.lit(-(1 << 63)))

@@ -1,71 +1,85 @@
 """Line dedup as an exact set-similarity join, in DataFrame expressions alone.
 
 A line's set is its distinct lower-cased words. A line goes if its set has a Jaccard similarity of 0.8 or more with
-that of an earlier line; lines are in the order of (doc_id, hash of the text, line number). Lines without words
-stay. ``later_lines`` looks at lines from ``least_words`` different words on, ``dedup`` at all that have a word.
+that of an earlier line. Lines without words stay.
 
-Sets of up to four words are similar only if they are equal, or if one of four lies in one of five. So
-lines of up to four words are grouped by the hash of their set, and a line of five joins the groups of its five
-subsets of four; whether a line goes follows from the earliest places of each size in its groups, without pairs.
+Order: lines that are equal in lower case are one distinct line, whose first place is its least (doc_id, hash of the text,
+line number); distinct lines are numbered along those. Of a distinct line only the first place can stay, and it stays unless
+a similar distinct line has a lower number.
 
 Words are 64-bit keys: their rarity class (power of two of the count of all words in their hash slot, over the
 whole table) in the high bits, their hash below, so sorting keys is rarest-first and equal keys are equal words.
-Of five words and more the first n - ceil(0.8 n) + k hold the first k words shared with any similar line (prefix filter); each k of
-them make a signature, k larger for shorter lines, by the length of the shorter line of a pair. At a
-signature whose last word stands at i and j the overlap is k + min(n - i - 1, m - j - 1) at most for the pair's first
-shared words (positional filter); lengths differ by a fifth at most (length filter). Pairs are verified once.
+Similar lines of n and m words share one of the first n - ceil(0.8 n) + 1 of each (prefix filter); at their first
+shared one at places i and j the overlap is 1 + min(n - i - 1, m - j - 1) at most (positional filter); lengths differ by
+a fifth at most (length filter). A line also has the parities of its words' hashes in 64 slots: each word that only one
+of two lines has changes one bit at most, so two lines whose parities differ in more bits than they may differ in words are
+no pair (an exact bitmap filter). What passes is verified once, by intersecting the sets.
 
-Repeated lines: lines are known by the hash of their text; their first places come from one grouping with partial
-aggregation. Lines that make up over ``HOT`` of all (at most 1 / ``HOT`` of them, so they may be broadcast)
-give signatures at their first place only. Signatures met by up to ``SMALL`` lines give all their pairs; longer lists,
-as of large groups of near copies, first give the pairs with their earliest line, and only lines
-without a match are then held against the rest of their lists. Nothing is capped.
+Sets of up to four words are similar only if they are equal, or if one of four lies in one of five. So
+lines of up to four words are grouped by the hash of their set, and a line of five joins the groups of its five
+subsets of four; whether a line goes follows from the earliest of each size in its groups, without pairs.
+
+Lists of a word: up to ``SMALL`` lines give all their pairs that pass. Longer lists, as of large groups of near copies, first
+give the pairs with their earliest line, and only lines without a match are then held against the rest of their lists. A
+word's class bounds the length of its list, so the lists that could be longest are dealt over several tasks by the
+line's number, each part with an earliest line of its own. Nothing is capped.
+
+Disk: shuffles go when what they were for is written, and a stored table goes when its successors stand.
 
 Defined results: null texts stay null and have no lines; empty texts have one empty line, which stays; rows of one
-(doc_id, text) are one place, so repeated rows keep and lose the same lines; a null doc_id comes first; an
-empty table gives an empty result; further columns are kept by ``dedup`` and not looked at.
+(doc_id, text) are one place, so repeated rows keep and lose the same lines; a null doc_id comes first; a long text is
+its lines, of any number; an empty table gives an empty result; further columns are kept by ``dedup`` and not looked at.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, scratch_dir, stored
+from .shared import SPACE, checked_broadcast, discard, scratch_dir, stored
 
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-#: ``later_lines`` starts here unless told otherwise; sets of fewer words have signatures of the whole set (k = 0).
+#: ``later_lines`` starts here unless told otherwise; sets of fewer words are grouped whole.
 LEAST_WORDS = 5
-SLOTS = 1 << 14
-SMALL = 24
-HOT = 1e-4
-#: Signatures are of three words below the first length, of two below the second, else of one.
-LENGTHS = (12, 24)
+#: Slots of the rarity table, a constant of this size in the plan.
+SLOTS = 1 << 17
+SMALL = 64
+#: Words of this class and above have their lists dealt over parts of up to 2 ** SALT_FROM lines.
+SALT_FROM = 14
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    """The words, and perhaps empty strings, of a text. Spaces alone are split at without a regular expression."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\n")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
 def rarity_classes(docs: DataFrame) -> list[int]:
-    """For each of ``SLOTS`` hash slots the power of two of the words that fall in it. One row per slot and task is shuffled."""
-    slot = F.transform(words_of(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-    counts = docs.filter("text is not null").select(F.explode_outer(slot).alias("slot")).filter("slot is not null").groupBy("slot").count()
+    """For each of ``SLOTS`` hash slots the power of two of the words that fall in it. A row per slot and task is shuffled, and the slots are collected, 512 of them a row."""
+    lines = docs.select(F.explode_outer(F.split(F.lower("text"), "\n")).alias("line"))
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).filter("w <> ''")
+    counts = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).groupBy("slot").agg(F.log2(F.count("*")).cast("int").alias("c"))
+    packed = counts.groupBy(F.shiftright("slot", 9)).agg(F.collect_list(F.concat_ws(":", "slot", "c")).alias("x")).select(F.array_join("x", ",").alias("x"))
     out = [0] * SLOTS
-    for r in counts.collect():
-        out[r.slot] = min(31, int(math.log2(r["count"])))
+    for r in packed.collect():
+        for slot, c in (pair.split(":") for pair in r.x.split(",")):
+            out[int(slot)] = min(31, int(c))
     return out
 
 
 def keys_of(line: Column, classes: list[int]) -> Column:
-    """The set of a line, rarest first. The table of classes is a constant of fixed size."""
+    """The set of a lower-cased line, rarest first. The table of classes is a constant of fixed size."""
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
-    hashes = F.transform(F.array_distinct(words_of(line)), lambda w: F.xxhash64(w))
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6)))
-    return F.sort_array(keys)
+    hashes = F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    at = lambda h: F.get(table, h.bitwiseAND(SLOTS - 1).cast("int"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(at(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
+
+
+def parities(keys: Column) -> Column:
+    """64 bits, each the parity of how many keys fall in its slot."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
 def needed(n: str) -> Column:
@@ -73,127 +87,133 @@ def needed(n: str) -> Column:
     return F.expr(f"({NUM} * {n} + {DEN - 1}) div {DEN}").cast("int")
 
 
-def words_in_signature(n: Column) -> Column:
-    return F.when(n < LENGTHS[0], 3).when(n < LENGTHS[1], 2).otherwise(1)
-
-
-def signatures(keys: Column, n: str, short: bool = False) -> Column:
-    """array<struct<sig, k, pos>> of a line with ``keys`` of length ``n``; ``short``: lines under ``LEAST_WORDS`` words are met too."""
-    last = lambda i: i.cast("int")
-
-    def prefix(k: int) -> Column:
-        return F.slice(keys, F.lit(1), F.col(n) - needed(n) + k)
-
-    def made(k: int, i: Column, *words: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(k), *words).alias("sig"), F.lit(k).alias("k"), last(i).alias("pos"))
-
-    p2, p3 = prefix(2), prefix(3)
-    one = F.transform(prefix(1), lambda a, i: made(1, i, a))
-    two = F.flatten(F.transform(p2, lambda b, i: F.transform(F.slice(p2, F.lit(1), i), lambda a: made(2, i, a, b))))
-    three = F.flatten(F.flatten(F.transform(p3, lambda c, i: F.transform(F.slice(p3, F.lit(1), i), lambda b, j: F.transform(F.slice(p3, F.lit(1), j), lambda a: made(3, i, a, b, c))))))
-    none = F.array().cast("array<struct<sig:bigint,k:int,pos:int>>")
-    own, shorter = words_in_signature(F.col(n)), words_in_signature(needed(n))
-    parts = [F.when((own == k) | (shorter == k), x).otherwise(none) for k, x in ((1, one), (2, two), (3, three))]
-    if not short:
-        return F.concat(*parts)
-    whole = F.array(made(0, F.lit(0), keys))
-    fours = F.transform(keys, lambda _, i: made(0, i, F.filter(keys, lambda _, j: i != j)))
-    return F.when(F.col(n) < LEAST_WORDS, whole).when(F.col(n) == LEAST_WORDS, F.concat(*parts, fours)).otherwise(F.concat(*parts))
-
-
-def passing(n: str, i: str, m: str, j: str, k: str) -> Column:
-    """Length and positional filters."""
-    need = f"(({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN})"
-    return F.expr(f"least({n}, {m}) * {DEN} >= greatest({n}, {m}) * {NUM} AND {k} + least({n} - {i} - 1, {m} - {j} - 1) >= {need}")
+def passing(a: str, b: str) -> Column:
+    """Length, positional and bitmap filters of rows (n, pos, parity) named by two prefixes."""
+    need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
+    return F.expr(
+        f"least({a}n, {b}n) * {DEN} >= greatest({a}n, {b}n) * {NUM} AND 1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1) >= {need}"
+        f" AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need}"
+    )
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows (place, lid, line) of all lines; place is a struct(doc_id, text_hash, line_no)."""
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select(F.struct("doc_id", "text_hash", "line_no").alias("place"), F.xxhash64(F.lower("line")).alias("lid"), "line")
+    """Rows (place, lid, line) of all lines, in lower case; place is a struct(doc_id, text_hash, line_no)."""
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select(F.struct("doc_id", "text_hash", "line_no").alias("place"), F.lower("line").alias("line")).withColumn("lid", F.xxhash64("line"))
+
+
+def distinct_lines(docs: DataFrame, classes: list[int], least_words: int) -> DataFrame:
+    """Rows (no, lid, place, copies, n, parity, first): distinct lines in order, with the keys that their signatures need."""
+    # An array of one, exploded: what follows reads the keys and can't be pushed below them, which would make them anew.
+    made = numbered(docs).select("lid", "place", F.explode_outer(F.array(keys_of(F.col("line"), classes))).alias("keys"))
+    sets = made.withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
+    wanted = F.when(F.col("n") <= LEAST_WORDS, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.col("n") - needed("n") + 1))
+    rows = sets.select("lid", "place", "n", parities(F.col("keys")).alias("parity"), wanted.alias("first"))
+    once = rows.groupBy("lid").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first(F.struct("n", "parity", "first")).alias("set"))
+    flat = once.select("lid", "place", "copies", "set.*")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(f"place.{c}").asc_nulls_first() for c in ("doc_id", "text_hash", "line_no")]
+    return flat.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("no"), "*")
+
+
+def prefix_words(lines: DataFrame) -> DataFrame:
+    """Rows (key, part, no, n, pos, parity) of prefix words; ``part`` is -1 but for words whose lists are dealt."""
+    prefix = F.slice("first", F.lit(1), F.col("n") - needed("n") + 1)
+    rows = lines.filter(F.col("n") >= LEAST_WORDS).select("no", "n", "parity", F.posexplode_outer(prefix).alias("pos", "key"))
+    level = F.shiftright("key", 58).cast("int")
+    parts = F.call_function("shiftleft", F.lit(1).cast("long"), level - (SALT_FROM - 1))
+    part = F.when(level >= SALT_FROM, F.pmod(F.col("no"), parts)).otherwise(F.lit(-1).cast("long"))
+    return rows.select("key", part.alias("part"), "no", "n", "pos", "parity")
+
+
+def with_heads(words: DataFrame) -> DataFrame:
+    """``words`` and ``head``, the earliest line of their list or part of one where it may match."""
+    along = Window.partitionBy("key", "part")
+    rows = words.withColumn("h", F.min(F.struct("no", "n", "pos", "parity")).over(along))
+    return rows.withColumn("head", F.when((F.col("h.no") < F.col("no")) & passing("", "h."), F.col("h.no"))).drop("h")
+
+
+def pairs_within(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Distinct (no, earlier) that share a word and pass the filters."""
+    a, b = (df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("no", "n", "pos", "parity")]) for df, p in ((later, "a"), (earlier, "b")))
+    return a.join(b, "key").filter(F.col("b_no") < F.col("a_no")).filter(passing("a_", "b_")).select(F.col("a_no").alias("no"), F.col("b_no").alias("earlier")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, root: str, name: str) -> DataFrame:
+    """Of the pairs (no, earlier) those that are similar, as distinct no."""
+    ids = pairs.select(F.explode(F.array("no", "earlier")).alias("no")).distinct()
+    keys = stored(sets_again(docs, ids.join(lines.select("no", "place"), "no"), root, name), f"{name}-keys", root)
+    mine, theirs = keys.select("no", F.col("keys").alias("mine")), keys.select(F.col("no").alias("earlier"), F.col("keys").alias("theirs"))
+    both = pairs.join(theirs, "earlier").join(mine, "no")
+    common = F.size(F.array_intersect("mine", "theirs"))
+    similar = both.filter(common * DEN >= (F.size("mine") + F.size("theirs") - common) * NUM)
+    return stored(similar.select("no").distinct(), f"{name}-matched", root)
 
 
-def verified(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Of the pairs (lid, earlier) those that are similar, as distinct lid."""
-    mine, theirs = keys.select("lid", F.col("keys").alias("mine")), keys.select(F.col("lid").alias("earlier"), F.col("keys").alias("theirs"))
-    both = pairs.join(theirs, "earlier").join(mine, "lid")
-    common = F.size(F.array_intersect("mine", "theirs"))
-    return both.filter(common * DEN >= (F.size("mine") + F.size("theirs") - common) * NUM).select("lid").distinct()
+def sets_again(docs: DataFrame, lines: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows (no, keys), the sets as hashes, of given lines (no, place), from the texts that hold them."""
+    wanted = lines.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")).agg(F.collect_list(F.struct("place.line_no", "no")).alias("wanted"))
+    wanted = checked_broadcast(stored(wanted, f"{name}-wanted", root), 128)
+    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).withColumn("all", F.split("text", "\n"))
+    each = found.select(F.explode_outer(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), F.lower(F.get("all", w["line_no"])).alias("line")))).alias("x"))
+    hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return each.select("x.no", "x.line").select("no", hashes.alias("keys")).dropDuplicates(["no"])
 
 
-def later_short(shared: DataFrame) -> DataFrame:
-    """Of lines with signatures of the whole set those (lid) that go: an equal set, or four of five words, came earlier."""
-    sets = shared.filter("k = 0")
+def later_short(lines: DataFrame) -> DataFrame:
+    """Of lines of up to five words those (no) that go: an equal set, or four of five words, came earlier."""
     few = F.col("n") < LEAST_WORDS
-    earliest = sets.groupBy("sig").agg(F.min(F.when(few, F.col("place"))).alias("few"), F.min(F.when(~few, F.col("place"))).alias("five"))
-    return sets.join(earliest, "sig").filter((F.col("few") < F.col("place")) | (few & (F.col("five") < F.col("place")))).select("lid").distinct()
+    fours = F.transform("first", lambda _, i: F.xxhash64(F.filter("first", lambda _, j: i != j)))
+    sets = lines.filter(F.col("n") <= LEAST_WORDS).select("no", "n", F.explode(F.when(few, F.array(F.xxhash64("first"))).otherwise(fours)).alias("sig"))
+    earliest = sets.groupBy("sig").agg(F.min(F.when(few, F.col("no"))).alias("few"), F.min(F.when(~few, F.col("no"))).alias("five"))
+    return sets.join(earliest, "sig").filter((F.col("few") < F.col("no")) | (few & (F.col("five") < F.col("no")))).select("no").distinct()
 
 
 def later_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows (doc_id, text_hash, removed): the line numbers that go, of texts (doc_id, text) that lose any."""
-    least_words, small = max(1, least_words), least_words < LEAST_WORDS
+    least_words = max(1, least_words)
     spark = docs.sparkSession
     root = scratch_dir(spark)
-    classes = rarity_classes(docs)
-    lines = numbered(docs)
-    first = stored(lines.groupBy("lid").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "first", root)
-    total = first.agg(F.sum("copies")).first()[0] or 0
-    hot = first.filter(F.col("copies") > max(SMALL, HOT * total)).select("lid", F.col("place").alias("only"))
-    wanted = lines.join(F.broadcast(hot), "lid", "left").filter("only is null or only = place")
-    sets = wanted.select("lid", keys_of(F.col("line"), classes).alias("keys")).withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
-    flat = sets.select("lid", "n", F.explode_outer(signatures(F.col("keys"), "n", small)).alias("s")).select(F.col("s.sig").alias("sig"), "lid", "n", F.col("s.k").alias("k"), F.col("s.pos").alias("pos"))
-    # Rows of a signature that lines share; the rest are most of all and end here.
-    along = Window.partitionBy("sig").orderBy("lid")
-    near = flat.withColumn("before", F.lag("lid").over(along)).withColumn("after", F.lead("lid").over(along)).filter("sig is not null")
-    near = near.filter("before is null or before <> lid").withColumn("shared", F.expr("before is not null or after is not null")).filter("shared")
-    shared = near.select("sig", "lid", "n", "k", "pos").join(first.select("lid", "place"), "lid")
-    heads = F.struct("place", "lid", "n", "pos")
-    shared = stored(shared, "shared", root)
-    listed = shared.filter("k > 0")
-    counted = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min(heads).alias("head")).filter("c > 1")
-    lists = stored(listed.join(counted, "sig").withColumn("long", F.col("c") > SMALL).drop("c"), "lists", root)
-    short = lists.filter("not long")
-    earlier = short.select("sig", F.col("lid").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("place").alias("then"))
-    in_short = short.join(earlier, "sig").filter("then < place and lid <> earlier").filter(passing("n", "pos", "m", "at", "k")).select("lid", "earlier")
-    with_head = lists.filter("long and head.lid <> lid").filter(passing("n", "pos", "head.n", "head.pos", "k")).select("lid", F.col("head.lid").alias("earlier"))
-    pairs = stored(in_short.unionByName(with_head).distinct(), "pairs", root)
-    ids = pairs.select(F.explode(F.array("lid", "earlier")).alias("lid")).unionByName(lists.filter("long").select("lid")).distinct()
-    keys = stored(keys_again(docs, ids.join(first.select("lid", "place"), "lid"), classes), "keys", root)
-    matched = stored(verified(pairs, keys), "matched", root)
-    if not lists.filter("long").isEmpty():
-        left = lists.filter("long and head.lid <> lid").join(matched, "lid", "left_anti")
-        rest = lists.filter("long").select("sig", F.col("lid").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("place").alias("then"))
-        more = left.join(rest, "sig").filter("then < place and lid <> earlier").filter(passing("n", "pos", "m", "at", "k")).select("lid", "earlier").distinct()
-        matched = matched.unionByName(stored(verified(more.join(pairs, ["lid", "earlier"], "left_anti"), keys), "matched-more", root))
-    if small:
-        matched = matched.unionByName(stored(later_short(shared), "matched-short", root))
-    long_enough = F.size(F.array_distinct(words_of(F.col("line")))) >= least_words
-    fate = first.filter("copies > 1").select("lid", F.col("place").alias("only")).join(matched.distinct().withColumn("gone", F.lit(True)), "lid", "full")
-    doomed = lines.filter(long_enough).select("lid", "place").join(fate, "lid").filter("gone or place <> only")
+    lines = stored(distinct_lines(docs, rarity_classes(docs), least_words), "lines", root)
+    words = prefix_words(lines)
+    counted = words.filter("part < 0").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL)
+    many = checked_broadcast(stored(counted.select("key"), "many", root))
+    short = words.filter("part < 0").join(many, "key", "left_anti")
+    long = stored(with_heads(words.filter("part < 0").join(many, "key", "left_semi").unionByName(words.filter("part >= 0"))), "long", root)
+    with_head = long.filter("head is not null").select("no", F.col("head").alias("earlier"))
+    pairs = stored(pairs_within(short, short).unionByName(with_head).distinct(), "pairs", root)
+    matched = verified(pairs, docs, lines, root, "first")
+    discard(spark, root, "first-keys", "first-wanted")
+    if not long.isEmpty():
+        left = long.join(matched, "no", "left_anti")
+        more = stored(pairs_within(left, long).join(pairs, ["no", "earlier"], "left_anti"), "more", root)
+        discard(spark, root, "long")
+        if not more.isEmpty():
+            matched = matched.unionByName(verified(more, docs, lines, root, "more"))
+    if least_words < LEAST_WORDS:
+        matched = matched.unionByName(stored(later_short(lines), "matched-short", root))
+    gone = lines.join(matched.distinct().withColumn("gone", F.lit(True)), "no", "left").filter("gone or copies > 1")
+    fate = gone.select("lid", F.when(F.col("gone").isNull(), F.col("place")).alias("only"))
+    doomed = numbered(docs).select("lid", "place").join(fate, "lid").filter("only is null or place <> only")
     return doomed.groupBy("place.doc_id", "place.text_hash").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
 
 
-def keys_again(docs: DataFrame, lines: DataFrame, classes: list[int]) -> DataFrame:
-    """Rows (lid, keys) of given lines (lid, place), from the texts that hold them."""
-    wanted = lines.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")).agg(F.collect_list(F.struct("place.line_no", "lid")).alias("wanted"))
-    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).withColumn("all", F.split("text", "\n"))
-    each = found.select(F.explode_outer(F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.get("all", w["line_no"]).alias("line")))).alias("x"))
-    return each.select("x.lid", keys_of(F.col("x.line"), classes).alias("keys")).dropDuplicates(["lid"])
-
-
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` in a struct ``doc``, its text without later lines as ``kept_text``, and ``n_lines``, ``n_removed``."""
+    spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     gone = later_lines(narrow, least_words=1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
+    gone = checked_broadcast(stored(gone, "removed", scratch_dir(spark)), 128)
     rows = docs.select(F.struct("*").alias("doc")).select("doc", F.col(f"doc.`{doc_id}`").alias("_doc_id"), F.col(f"doc.`{text}`").alias("_text"))
     joined = rows.join(gone, rows["_doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64("_text") == gone["_hash"]), "left")
-    lines = F.split("_text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return joined.select(
+    cut = joined.withColumn("_lines", F.split("_text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
+    return cut.select(
         "doc",
         F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"),
-        F.coalesce(F.when(F.col("_text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("_text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_removed"),
     )
 

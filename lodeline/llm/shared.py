@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,28 +16,58 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Tables of up to so many bytes are broadcast, larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster shares (``spark.checkpoint.dir``).
 
-    A folder of this machine is used only where that setting is absent, as in tests.
+    A folder of this machine is used only where that setting is absent and Spark runs on this machine alone, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        base = kept or tempfile.mkdtemp(prefix="lodeline-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lodeline-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lodeline-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there."""
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of executions within go when those end; for results that are written, so that nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str, root: str | None = None, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder (in a folder for each value of ``by``) and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{root or scratch_dir(spark)}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    with short_lived_shuffles(spark):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, root: str, *names: str) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A stored table with a hint to broadcast it if its rows are few enough, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words (``WORD``) in a text; null has none."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")).cast("long")
