@@ -13,17 +13,19 @@ and counts them (a row per id and task, summed: bounded by the vocabulary). With
 those files. A task writes its file under a name of its own and then renames it, so a retried task replaces it whole.
 Files go to the folder that the cluster shares, by the file system its URI names.
 
-Tokenising is by word: the tokenizer never joins over white space, so words are encoded once by the
-library and remembered.
+Tokenising is by word: the tokenizer never joins over white space, so a batch of texts is split and its words told apart by
+Arrow, distinct words are encoded once by the library and remembered, and the ids of all places are gathered at once.
+
+A file is read back by ranges of blocks, a task each: a task starts at the checkpoint of its first block and passes over the
+rest of a document that began before it; who has a document's first id decodes it to its end, also into later ranges.
 
 Defined results: null and empty texts are the end id alone; a null doc_id is first; rows of equal doc_id go by
-text; repeated rows are written again; an empty table writes no files; further columns are ignored.
+text; repeated rows are written again; a text of any length is one document; an empty table writes no files; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -37,13 +39,13 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .shared import scratch_dir, stored
+from .words import coded_words, parts_of, strings_of
 
 END_ID = 2
-#: Words of a generation; documents of a chunk.
-CACHE, CHUNK = 700_000, 256
-_ODD = re.compile("[\x1c-\x1f]")
-#: What the tokenizer takes for white space; Python's split() differs by the characters above alone.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Words of a generation; bytes of text in a chunk.
+CACHE, CHUNK = 700_000, 4 << 20
+#: Blocks that a task reads back.
+READ_BLOCKS = 8
 
 
 class WordIds(dict):
@@ -103,15 +105,21 @@ class WordIds(dict):
             for w, b, e in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 out[w] = raw[b:e]
 
-    def ids(self, texts: list[str | None]):
-        """For each text its ids as such bytes."""
-        for k in range(0, len(texts), 256):
-            split = [[w for w in _SPACE.split(t) if w] if _ODD.search(t) else t.split() for t in ((t or "") for t in texts[k : k + 256])]
-            words = set().union(*split)
-            if new := words.difference(self):
-                self.learn(words if len(self) + len(new) > CACHE else new)
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+    def ids(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ``end`` after each; how many each has)."""
+        codes, offsets, words = coded_words(texts, lower=False)
+        strings = strings_of(words)
+        if new := {w for w in strings if w and w not in self}:
+            self.learn({*filter(None, strings)} if len(self) + len(new) > CACHE else new)
+        parts = [self[w] if w else b"" for w in strings]
+        parts.append(end)
+        codes = np.insert(codes, offsets[1:], len(words))
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        begin = np.cumsum(length) - length
+        many = length[codes]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(parts), "<u2")[np.repeat(begin[codes] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(ends[offsets[1:] + np.arange(len(texts))], prepend=0)
 
 
 def place(root: str) -> tuple[pafs.FileSystem, str]:
@@ -141,18 +149,15 @@ def tokenised(batches, words: WordIds, end_id: int, counts: np.ndarray, totals:
     """
     end = np.array([end_id], "<u2").tobytes()
     totals |= {"n_ids": 0, "n_docs": 0}
-    for batch in batches:
-        doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-        for k in range(0, len(texts), CHUNK):
-            parts = [b + end for b in words.ids(texts[k : k + CHUNK])]
-            own = doc_ids[k : k + CHUNK]
-            ids = b"".join(parts)
-            counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=len(counts))
-            totals["n_ids"] += len(ids) // 2
-            totals["n_docs"] += len(own)
-            raw = np.array([0 if d is None else d for d in own], "<i8").tobytes() + np.array([d is None for d in own], "u1").tobytes() + np.array([len(p) // 2 for p in parts], "<u8").tobytes() + ids
-            packed = pa.compress(raw, codec="zstd", asbytes=True)
-            yield struct.pack("<QQQ", len(own), len(raw), len(packed)) + packed
+    for batch in (part for whole in batches for part in parts_of(whole, size=CHUNK)):
+        own = batch["doc_id"].to_pylist()
+        ids, lengths = words.ids(batch["text"], end)
+        counts += np.bincount(ids, minlength=len(counts))
+        totals["n_ids"] += len(ids)
+        totals["n_docs"] += len(own)
+        raw = np.array([0 if d is None else d for d in own], "<i8").tobytes() + np.array([d is None for d in own], "u1").tobytes() + lengths.astype("<u8").tobytes() + ids.astype("<u2").tobytes()
+        packed = pa.compress(raw, codec="zstd", asbytes=True)
+        yield struct.pack("<QQQ", len(own), len(raw), len(packed)) + packed
 
 
 def read_chunks(f: pa.NativeFile):
@@ -208,15 +213,41 @@ def read_index(f: pa.NativeFile):
     return points, ids, nulls, np.frombuffer(raw, "<u8", d, 16 + 16 * p + 9 * d), size - 16 - length
 
 
-def read_blocks(f: pa.NativeFile, table: rans.Table, first: int = 0, last: int | None = None):
+def read_blocks(f: pa.NativeFile, table: rans.Table, first: int = 0, last: int | None = None, index=None):
     """Decodes the blocks first ... last - 1 of a file, each from its checkpoint."""
-    points, *_, stop = read_index(f)
+    points, *_, stop = index or read_index(f)
     ends = [*(int(o) for o, _ in points[1:]), stop]
     for k in range(first, len(points) if last is None else last):
         f.seek(int(points[k][0]))
         yield table.decode(f.read(ends[k] - int(points[k][0])))
 
 
+def read_documents(f: pa.NativeFile, table: rans.Table, first: int, last: int):
+    """(place of the first, doc ids, which are null, ids before each, lengths, crc32 of each) of the documents that begin in blocks first ... last - 1."""
+    index = read_index(f)
+    points, ids, nulls, lengths, _ = index
+    n = lengths.astype(np.int64)
+    ends = np.cumsum(n)
+    begins = ends - n
+    before = [*points[:, 1].astype(np.int64).tolist(), int(ends[-1]) if len(ends) else 0]
+    low, high = np.searchsorted(begins, [before[first], before[min(last, len(points))]])
+    at, doc, crc, crcs = before[first], int(low), 0, np.zeros(high - low, np.int64)
+    for block in read_blocks(f, table, first, index=index) if high > low else ():
+        raw, k = block.astype("<u4").data.cast("B"), max(0, min(len(block), int(begins[doc]) - at))
+        while k < len(block) and doc < high:
+            take = min(int(ends[doc]) - at - k, len(block) - k)
+            crc = zlib.crc32(raw[4 * k : 4 * (k + take)], crc)
+            k += take
+            if at + k == ends[doc]:
+                crcs[doc - low], crc, doc = crc, 0, doc + 1
+        at += len(block)
+        if doc == high:
+            break
+    if doc != high:
+        raise ValueError(f"{doc - low} of {high - low} documents are whole")
+    return int(low), ids[low:high], nulls[low:high], begins[low:high], n[low:high], crcs
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, root: str, *, end_id: int = END_ID, files: int | None = None) -> list[tuple[str, int, int]]:
     """Writes all documents (columns doc_id, text) under ``root``: (file, ids, documents) in order, a row per file."""
     spark = docs.sparkSession
@@ -265,39 +296,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, *, end_id: int = EN
     return [(f"{name}.ltok", n_ids, n_docs) for name, n_ids, n_docs in rows]
 
 
-def read_tokens(spark: SparkSession, root: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """Reads the files back, one task each: doc_id, start, n_tokens, ids_crc32."""
+def read_tokens(spark: SparkSession, root: str, files: list[tuple[str, int, int]], blocks: int = READ_BLOCKS) -> DataFrame:
+    """Reads the files back, a task for each run of ``blocks`` blocks: doc_id, start, n_tokens, ids_crc32."""
     placed, start = [], 0
     for name, n_ids, _ in files:
-        placed.append((len(placed), name, start))
+        placed += [(len(placed) + k, name, start, k * blocks) for k in range(max(1, -(-n_ids // (rans.BLOCK * blocks))))]
         start += n_ids
-    rows = spark.createDataFrame(placed, "no int, file string, start long").repartition(max(1, len(placed)), "no")
+    rows = spark.createDataFrame(placed, "no int, file string, start long, first int").repartitionByRange(max(1, len(placed)), "no")
 
     def read(batches):
         table = None
         for batch in batches:
-            for name, start in zip(batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True):
+            for name, start, first in zip(*(batch[c].to_pylist() for c in ("file", "start", "first")), strict=True):
                 if table is None:
                     with get(root, "table.bin") as f:
                         table = rans.Table.load(f.read())
                 with get(root, name) as f:
-                    _, ids, nulls, lengths, _ = read_index(f)
-                    ends = np.cumsum(lengths.astype(np.int64))
-                    crcs, crc, doc, at = np.zeros(len(ids), np.int64), 0, 0, 0
-                    for block in read_blocks(f, table):
-                        raw, k = block.astype("<u4").data.cast("B"), 0
-                        while k < len(block):
-                            take = min(int(ends[doc]) - at, len(block) - k)
-                            crc = zlib.crc32(raw[4 * k : 4 * (k + take)], crc)
-                            at, k = at + take, k + take
-                            if at == ends[doc]:
-                                crcs[doc], crc, doc = crc, 0, doc + 1
-                if doc != len(ids):
-                    raise ValueError(f"{name} has {doc} of {len(ids)} documents")
-                n = lengths.astype(np.int64)
+                    _, ids, nulls, begins, n, crcs = read_documents(f, table, first, first + blocks)
                 for k in range(0, len(ids), 10_000):
                     s = slice(k, k + 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64(), mask=nulls[s]), pa.array(start + ends[s] - n[s]), pa.array(n[s]), pa.array(crcs[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64(), mask=nulls[s]), pa.array(start + begins[s]), pa.array(n[s]), pa.array(crcs[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
