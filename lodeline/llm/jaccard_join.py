@@ -35,11 +35,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import checked_broadcast, scratch_dir, stored
+from .words import hashed_words, parts_of
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
 #: Slots of the table of counts, the ranges it is summed in, and shingles that a task gathers before it sums its own.
 SLOTS, RANGES, GATHER = 1 << 24, 16, 1_000_000
 CACHE = 150_000
+#: Bytes of text that are turned into sets at once.
+PART = 4 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROLL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -50,33 +53,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def parts_of(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in smaller ones, so that what is made of it stays small."""
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str | None, known: WordHashes) -> np.ndarray:
-    """The set of a text, ascending."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, len(h))
-    total = np.full(len(h) - k + 1, k, np.uint64)
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, given theirs."""
+    total = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for j in range(k):
         total = total + mixed(h[j : j + len(total)] * _ROLL[j] + np.uint64(j)) * _ROLL[j]
-    return np.unique(mixed(total))
+    return mixed(total)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The set of each text, ascending."""
+    h, offsets = hashed_words(texts)
+    whole, at = rolled(h, WORDS), offsets.tolist()
+    for begin, end in zip(at, at[1:], strict=False):
+        if end - begin >= WORDS:
+            yield np.unique(whole[begin : end - WORDS + 1])
+        else:
+            yield rolled(h[begin:end], end - begin) if end > begin else np.zeros(0, np.uint64)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -125,11 +118,10 @@ def profile(docs: DataFrame) -> DataFrame:
         return rows(range=ranges, size=sizes, blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known, slots, held = WordHashes(), [], 0
-        for batch in (part for whole in batches for part in parts_of(whole)):
+        slots, held = [], 0
+        for batch in (part for whole in batches for part in parts_of(whole, size=PART)):
             nodes, sizes = [], []
-            for t in batch["text"].to_pylist():
-                s = shingles(t, known)
+            for s in shingle_sets(batch["text"]):
                 nodes.append(node_of(s) if len(s) else None)
                 sizes.append(len(s))
                 slots.append((s & np.uint64(SLOTS - 1)).astype(np.uint32))
@@ -178,11 +170,10 @@ def postings(docs: DataFrame, rarity) -> DataFrame:
     """Rows (token, node, n, pos) of prefix shingles; a task gives each node once while it remembers it. ``rarity`` is a broadcast."""
 
     def run(batches):
-        known, given, table = WordHashes(), set(), rarity.value
-        for batch in (part for whole in batches for part in parts_of(whole)):
+        given, table = set(), rarity.value
+        for batch in (part for whole in batches for part in parts_of(whole, size=PART)):
             tokens, nodes, sizes, places = [], [], [], []
-            for t in batch["text"].to_pylist():
-                s = shingles(t, known)
+            for s in shingle_sets(batch["text"]):
                 if not len(s) or (node := node_of(s)) in given:
                     continue
                 if len(given) >= CACHE:
@@ -280,9 +271,8 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, root: str, na
     texts = docs.withColumn("_id", id_of(F.col("doc_id"))).join(ids, "_id", "left_semi").select("text")
 
     def run(batches):
-        known = WordHashes()
-        for batch in (part for whole in batches for part in parts_of(whole)):
-            made = [shingles(t, known) for t in batch["text"].to_pylist()]
+        for batch in (part for whole in batches for part in parts_of(whole, size=PART)):
+            made = list(shingle_sets(batch["text"]))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
 
     return texts.mapInArrow(run, "node long, s binary")
