@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,8 +261,9 @@ def test_token_files(spark, sf, monkeypatch, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
     texts = ["a\x1cb c", "A b c　d\x85e", "x<|endoftext|>y <|startoftext|>", "é ́a ΑΣ Σ", "don't  I'LL 12 34a\n\t!?.. 'S", "", None]
-    for t, b in zip(texts, token_files.WordIds(path).ids(texts), strict=True):
-        assert list(np.frombuffer(b, "<u2")) == whole.encode(t or "", add_special_tokens=False).ids
+    ids, lengths = token_files.WordIds(path).ids(pa.array(texts), b"\2\0")
+    for t, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+        assert own.tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
     at = 0
     got = token_files.query(spark, sf).orderBy("doc_id").collect()
     for r, d in zip(got, spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect(), strict=True):
@@ -279,6 +281,31 @@ def test_token_files(spark, sf, monkeypatch, tmp_path):
     assert empty == [] and token_files.read_tokens(spark, root + "/e", empty).count() == 0
 
 
+def test_token_ranges(spark, monkeypatch, tmp_path):
+    """Documents that begin in any run of blocks are read whole from its checkpoint."""
+    import public_tokenizers
+
+    monkeypatch.setattr(rans, "BLOCK", 64)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "bee", "sea", "42", "x1"]) for _ in range(n)) for n in (0, 3, 300, 1, 63, 64, 65, 0, 0, 500, 2)]
+    ids, lengths = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json")).ids(pa.array(texts), b"\2\0")
+    table = rans.Table.of(np.bincount(ids, minlength=1 << 16))
+    nulls = np.zeros(len(texts), "u1")
+    (tmp_path / "f").write_bytes(b"".join(token_files.encoded_file(table, [(np.arange(len(texts)), nulls, lengths.astype("<u8"), ids)])))
+    want = [zlib.crc32(x.astype("<u4").tobytes()) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    n_blocks = -(-len(ids) // 64)
+    for run in (1, 2, 5, n_blocks):
+        got = []
+        for first in range(0, n_blocks, run):
+            with token_files.get(str(tmp_path), "f") as f:
+                low, own, _, begins, n, crcs = token_files.read_documents(f, table, first, first + run)
+            assert low == len(got) and begins.tolist() == (np.cumsum(lengths) - lengths)[low : low + len(own)].tolist()
+            got += crcs.tolist()
+        assert got == want
+    with token_files.get(str(tmp_path), "f") as f:  # from the checkpoint in the middle
+        assert np.concatenate(list(token_files.read_blocks(f, table, n_blocks // 2))).tolist() == ids[n_blocks // 2 * 64 :].tolist()
+
+
 # --- 6 licenses
 
 
@@ -424,7 +451,8 @@ def test_line_dedup_odd(spark):
 # --- 9 search
 
 
-def test_search(spark, sf):
+def test_search(spark, sf, monkeypatch):
+    monkeypatch.setattr(search_index, "SHARD", 9000)  # several shards, so thresholds are carried over
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     terms = {r.doc_id: collections.Counter((r.text or "").encode().lower().split()) for r in docs}
     length = {i: sum(c.values()) for i, c in terms.items()}
@@ -432,33 +460,45 @@ def test_search(spark, sf):
     df = collections.Counter(w for c in terms.values() for w in c)
     got = collections.defaultdict(list)
     for r in search_index.query(spark, sf).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.doc_id, round(r.score * search_index.UNIT * 1024)))
+        got[r.query_id].append((r.doc_id, r.score))
     k1, b = search_index.K1, search_index.B
     assert set(got) == {i for i in terms if i % 50 == 0}
     for q in got:
         score = collections.Counter()
         for w, qtf in terms[q].items():
-            weight = int(np.rint(qtf * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * 1024))
+            weight = qtf * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
             for i, c in terms.items():
                 if w in c:
-                    score[i] += weight * int(np.rint(search_index.UNIT * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * length[i] / mean))))
-        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10]
+                    score[i] += weight * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * length[i] / mean))
+        want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [s for _, s in got[q]] == pytest.approx([s for _, s in want])
 
 
-def test_search_pruned():
+def test_search_pruned(monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(i, t := np.unique(rng.zipf(1.3, 60).astype(np.uint64) % np.uint64(5000)), rng.integers(1, 5, len(t)), 60) for i in range(3000)]
-    shard = search_index.Shard.load(b"".join(search_index.Shard.build(rows, 60).dump()))
-    for q in (0, 7, 99):
-        terms, weights = rows[q][1], rng.integers(1, 5000, len(rows[q][1]))
-        whole = np.zeros(3000, np.int64)
-        for t, w in zip(terms, weights, strict=True):
-            k = np.searchsorted(shard.terms, t)
-            s = slice(shard.begin[k], shard.begin[k + 1])
-            whole[shard.docs[s]] += w * shard.impacts[s].astype(np.int64)
-        docs, scores = shard.search(terms, weights, 10)
-        best = np.lexsort((np.arange(3000), -whole))[:10]
-        assert docs.tolist() == best.tolist() and scores.tolist() == whole[best].tolist()
+    rows = []
+    for i in range(3000):
+        t = np.unique(rng.zipf(1.3, 60).astype(np.uint64) % np.uint64(5000) + np.uint64(5000 * (i % 4)))  # four languages
+        rows.append((i, t, rng.integers(1, 5, len(t)).astype(np.uint32), 60))
+    often = np.array([x for x, c in sorted(collections.Counter(x for r in rows for x in r[1].tolist()).items()) if c >= 3000 / search_index.OFTEN], np.uint64)
+    raw = b"".join(search_index.Shard.build(rows).dump())
+    for weak in (often, often[:0]):
+        shard = search_index.Shard.load(raw, 60.0, weak)
+        for q in (0, 7, 99):
+            terms, weights = rows[q][1], rng.integers(1, 5000, len(rows[q][1])).astype(float)
+            whole = np.zeros(3000)
+            for i, t, tf, _ in rows:
+                at = np.flatnonzero(np.isin(terms, t))
+                x = tf[np.searchsorted(t, terms[at])].astype(float)
+                whole[i] = (weights[at] * x * (search_index.K1 + 1) / (x + search_index.K1)).sum()
+            monkeypatch.setattr(search_index, "MANY", 1 if q == 7 else 8)
+            places, scores = shard.search(terms, weights, 10)
+            best = np.lexsort((np.arange(3000), -np.round(whole, 6)))[:10]
+            assert shard.doc_ids[places].tolist() == best.tolist() and scores == pytest.approx(whole[best])
+            again, same = shard.search(terms, weights, 10, float(scores[-1]))
+            assert again.tolist() == places.tolist() and same.tolist() == scores.tolist()
+        if len(weak):
+            assert 0 < shard.scored < 0.1 * 6 * 3000  # most documents are never scored whole
 
 
 def test_search_odd(spark):
