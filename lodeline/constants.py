@@ -13,6 +13,5 @@ COPY_LINES = 100_000
 MAX_OFFSET_MS, MAX_ZONE_MS = 10 * 365 * 86_400_000, 23 * 3_600_000
 TS_NAMES = ("ts", "timestamp", "time", "@timestamp")
 TS_SHARE, EPOCH_MS_FROM = 0.5, 100_000_000_000
-REMERGE_ROWS, REMERGE_BYTES = 20_000, 32 << 20
 LEVEL_NAMES = ("level", "severity", "lvl", "loglevel", "log_level", "priority")
 LEVELS = ("FATAL", "ERROR", "WARN", "INFO", "DEBUG", "OTHER")

@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .constants import DETECT_BYTES, SCHEMA_BYTES
 from .functions import jsonx
 from .operators import export, levels, profile, query, rows, search
 from .operators import timeline as tl
 from .sources import schema
-from .sources.lines import read_lines, read_raw
+from .sources.lines import head_lines, read_lines, read_raw
 from .streaming.tail import tail  # noqa: F401  part of this surface
 
 
@@ -27,6 +28,7 @@ class LogFrame:
     columns: list[schema.Column] = field(default_factory=list)
     query: str = ""
     searched: search.SearchResult | None = None
+    first: list[str] | None = None
 
     @property
     def names(self) -> list[str]:
@@ -80,13 +82,16 @@ class LogFrame:
 
 
 def open_log(spark: SparkSession, path: str, encoding: str | None = None, src: int = 0) -> LogFrame:
+    """Only the file's head is read for what it is; a folder's first lines are looked up."""
     lines = read_lines(spark, path, encoding, src)
-    is_json = schema.is_json_lines(lines)
-    return LogFrame(spark, path, lines, is_json, schema.discover_columns(lines) if is_json else [])
+    first = head_lines(spark, path, encoding, max(DETECT_BYTES, SCHEMA_BYTES))
+    seen = lines if first is None else first
+    is_json = schema.is_json_lines(seen)
+    return LogFrame(spark, path, lines, is_json, schema.discover_columns(seen) if is_json else [], first=first)
 
 
 def open_source(log: LogFrame, offset_ms: int = 0, zone_ms: int = 0, hidden: bool = False) -> tl.Source | tl.Rejected:
-    route = schema.probe_route(log.path, log.lines, log.names)
+    route = schema.probe_route(log.path, log.lines if log.first is None else log.first, log.names, log.spark)
     if isinstance(route, tl.Rejected):
         return route
     return tl.Source(log.path, log.lines.select("line_no", "value"), route, log.names, offset_ms, zone_ms, hidden)

@@ -168,3 +168,29 @@ def exact_field(line: Column, path: list[str]) -> Column:
         return pa.array([None if f is None else {"kind": f[0], "text": f[1]} for f in found], pa.struct([("kind", pa.string()), ("text", pa.string())]))
 
     return get(line)
+
+
+def _within(value, path: list[str]) -> str | None:
+    for p in path:
+        if not isinstance(value, dict) or p not in value:
+            return None
+        value = value[p]
+    return display(value)
+
+
+def exact_texts(line: Column, paths: list[list[str]]) -> Column:
+    """array<string> of the values at several paths, each line parsed once by the strict parser; null where a path is missing."""
+
+    @F.arrow_udf("array<string>")
+    def get(lines: pa.Array) -> pa.Array:
+        out = []
+        for x in lines.to_pylist():
+            try:
+                value = loads(x)
+            except (ValueError, RecursionError):
+                out.append(None)
+            else:
+                out.append([_within(value, p) for p in paths])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return get(line)

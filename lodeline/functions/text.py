@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,21 +110,11 @@ def word_at(text: str, at: int) -> tuple[int, int] | None:
     return lo, hi
 
 
+_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+
+
 def snap_json_string(text: str, lo: int, hi: int) -> tuple[int, int] | None:
     """The bounds of the JSON string literal's content that holds [lo, hi); escapes stay as they stand."""
     if not 0 <= lo < hi <= len(text):
         return None
-    start, i = None, 0
-    while i < len(text):
-        if start is not None and text[i] == "\\":
-            i += 2
-            continue
-        if text[i] == '"':
-            if start is None:
-                start = i + 1
-            elif start <= lo and hi <= i:
-                return start, i
-            else:
-                start = None
-        i += 1
-    return None
+    return next((m.span(1) for m in _LITERAL.finditer(text) if m.start(1) <= lo and hi <= m.end(1)), None)

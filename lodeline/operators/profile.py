@@ -6,6 +6,7 @@ field; both null where the line lacks it).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from ..functions import jsonx
 #: A JSON number as text.
 NUMBER = r"\A-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\z"
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+#: Bins of a histogram; so many values are counted one by one.
+BINS, FEW = 4096, 200_000
 
 
 def field_scan(lines: DataFrame, field: str, line: str = "value") -> DataFrame:
@@ -45,19 +48,43 @@ def nearest_rank(p: float, n: Column) -> Column:
 def numeric_stats(scan: DataFrame) -> DataFrame:
     """One row: count, skipped, scope_rows, min, max, mean, p50, p95, p99, sampled (never).
 
-    Quantiles are exact at any size: values are counted, so the ranks come from a running sum over distinct values,
-    found per range of values; no list of values is built.
+    Quantiles are exact at any size: one pass for the sums, then histograms of ``BINS`` bins, of which only those that hold a rank
+    are looked into again, until few enough values are left to be counted one by one. What is shuffled is a row per bin and task.
     """
     x = number_of(F.col("kind"), F.col("raw"))
     values = scan.select(x.alias("x"))
-    base = values.agg(F.count("*").alias("scope_rows"), F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("_sum"))
-    counts = values.filter("x is not null").groupBy("x").agg(F.count("*").alias("c"))
-    found = quantiles(counts, "x", "c", QUANTILES)
-    nan = F.lit(float("nan"))
-    out = base.join(F.broadcast(found), F.lit(True), "left")  # one row each
-    mean = F.when(F.col("count") > 0, F.col("_sum") / F.col("count"))
-    picked = [F.coalesce(F.col(k), nan).alias(k) for k in ("min", "max")] + [F.coalesce(mean, nan).alias("mean")] + [F.coalesce(F.col(k), nan).alias(k) for k in QUANTILES]
-    return out.select("count", (F.col("scope_rows") - F.col("count")).alias("skipped"), "scope_rows", *picked, F.lit(False).alias("sampled"))
+    base = values.agg(F.count("*").alias("scope_rows"), F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum")).first()
+    nan, n = float("nan"), base["count"]
+    ranks = {k: math.floor((n - 1) * p + 0.5) + 1 for k, p in QUANTILES.items()} if n else {}
+    found = at_ranks(values.filter("x is not null"), "x", sorted(set(ranks.values())), base["min"], base["max"], n) if n else {}
+    picked = {"min": base["min"], "max": base["max"], "mean": base["sum"] / n if n else None, **{k: found.get(ranks.get(k)) for k in QUANTILES}}
+    cells = [F.lit(n).cast("long").alias("count"), F.lit(base.scope_rows - n).cast("long").alias("skipped"), F.lit(base.scope_rows).cast("long").alias("scope_rows")]
+    return scan.sparkSession.range(1).select(*cells, *[F.lit(nan if v is None else float(v)).alias(k) for k, v in picked.items()], F.lit(False).alias("sampled"))
+
+
+def at_ranks(values: DataFrame, name: str, ranks: list[int], low: float, high: float, n: int, before: int = 0) -> dict[int, float]:
+    """The values at 1-based ranks of the n values in [low, high]; ``before`` values are less."""
+    x = F.col(name)
+    if low == high or not ranks:
+        return dict.fromkeys(ranks, low)
+    width = high - low
+    if n <= FEW or not math.isfinite(width):
+        counts = values.groupBy(name).agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.orderBy(name)) + before
+        ranked = counts.select(name, upto.alias("upto"))
+        row = ranked.agg(*[F.min(F.when(F.col("upto") >= r, x)).alias(f"r{r}") for r in ranks]).first()
+        return {r: row[f"r{r}"] for r in ranks}
+    # The same expression in every pass and never falling with x, so a bin's values are one range.
+    bin_ = F.least(F.floor((x - F.lit(low)) / F.lit(width) * BINS), F.lit(BINS - 1))
+    rows = values.groupBy(bin_.alias("b")).agg(F.count("*").alias("c"), F.min(name).alias("lo"), F.max(name).alias("hi")).collect()
+    out, left = {}, list(ranks)
+    for r in sorted(rows, key=lambda r: r.b):
+        own = [k for k in left if k <= before + r.c]
+        if own:
+            left = left[len(own) :]
+            out |= at_ranks(values.filter((x >= F.lit(r.lo)) & (x <= F.lit(r.hi))), name, own, r.lo, r.hi, r.c, before)
+        before += r.c
+    return out
 
 
 def quantiles(counts: DataFrame, value: str, weight: str, ps: dict[str, float], buckets: int = 256) -> DataFrame:

@@ -5,7 +5,9 @@ A query is parsed to clauses on the driver and compiled to one Column, so that C
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -19,9 +21,13 @@ from ..functions.text import contains_ci, equals_ci, starts_ci
 EQ, PREFIX, GT, GE, LT, LE = "=", "=*", ">", ">=", "<", "<="
 _OPERATOR = re.compile(r">=|<=|>|<|=")
 #: A JSON number, which is stricter than what a cast takes.
+MAX_DOUBLE = sys.float_info.max
 _NUMBER = r"^\s*-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
+_PARSED = "_parsed_fields"
+
+
 @dataclass(frozen=True)
 class Field:
     path: tuple[str, ...]
@@ -113,6 +119,30 @@ def compare(text: Column, op: str, value: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def compare_typed(c: Column, kind: str, op: str, value: str) -> Column | None:
+    """``compare`` for a column of numbers in its own type, so that it reaches the scan; None where the text has to be looked at."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    if op == EQ:
+        if not whole:
+            return None
+        same = re.match(r"(?:0|-?[1-9]\d{0,17})\Z", value)  # the text of a whole number has one form
+        return c.isNotNull() & (c == F.lit(int(value))) if same else F.lit(False)
+    if op == PREFIX or not (whole or kind in ("float", "double")):
+        return None
+    if not re.match(_NUMBER, value):
+        return F.lit(False)
+    y = float(value)
+    if whole:
+        if not abs(y) < 1 << 53:
+            return None
+        low, high = F.lit(math.floor(y)), F.lit(math.ceil(y))
+        return c.isNotNull() & {GT: c > low, GE: c >= high, LT: c < high, LE: c <= low}[op]
+    if kind == "float" or math.isinf(y):
+        return None
+    finite = (c >= F.lit(-MAX_DOUBLE)) & (c <= F.lit(MAX_DOUBLE))  # what isn't a number has no such text
+    return c.isNotNull() & {GT: c > y, GE: c >= y, LT: c < y, LE: c <= y}[op] & finite
+
+
 def json_fields(line: Column, exact: bool = True) -> Callable[[tuple[str, ...]], Column]:
     """How a path is read from a JSON line: by the strict parser or by Spark's own."""
 
@@ -123,7 +153,11 @@ def json_fields(line: Column, exact: bool = True) -> Callable[[tuple[str, ...]],
 
 
 def table_fields(df: DataFrame) -> Callable[[tuple[str, ...]], Column]:
-    """Paths are columns of ``df``; an unknown one is null."""
+    """Paths are columns of ``df``; an unknown one is null. ``read.typed`` compares columns of numbers as such."""
+    kinds = dict(df.dtypes)
+
+    def typed(path: tuple[str, ...], op: str, value: str) -> Column | None:
+        return compare_typed(F.col(f"`{path[0]}`"), kinds[path[0]], op, value) if len(path) == 1 and path[0] in kinds else None
 
     def read(path: tuple[str, ...]) -> Column:
         known = {c: F.col(f"`{c}`") for c in df.columns}
@@ -132,13 +166,15 @@ def table_fields(df: DataFrame) -> Callable[[tuple[str, ...]], Column]:
         c = known[path[0]]
         return (jsonx.native_field(c, list(path[1:])) if len(path) > 1 else c).cast("string")
 
+    read.typed = typed
     return read
 
 
 def compile_clause(clause: Clause, line: Column, read: Callable[[tuple[str, ...]], Column]) -> Column:
     if isinstance(clause, Bare):
         return F.coalesce(contains_ci(line, clause.value), F.lit(False))
-    return compare(read(clause.path), clause.op, clause.value)
+    typed = getattr(read, "typed", lambda *_: None)(clause.path, clause.op, clause.value)
+    return compare(read(clause.path), clause.op, clause.value) if typed is None else typed
 
 
 def compile_query(clauses: Iterable[Clause], line: Column, read: Callable[[tuple[str, ...]], Column]) -> Column:
@@ -160,4 +196,21 @@ def run_filter(lines: DataFrame, text: str, columns: Iterable[str] = (), *, line
     for c in dear:
         # A key may be written with escapes, so only lines without any are dropped by it.
         out = out.filter(F.contains(value, F.lit(f'"{c.path[-1]}"')) | F.contains(value, F.lit("\\")))
-    return out.filter(compile_query(dear, value, json_fields(value, exact))) if dear else out
+    if not dear:
+        return out
+    if not exact:
+        return out.filter(compile_query(dear, value, json_fields(value, False)))
+    # All clauses read one parse of the line.
+    paths = list(dict.fromkeys(c.path for c in dear))
+    parsed = out.withColumn(_PARSED, jsonx.exact_texts(value, [list(p) for p in paths]))
+    return parsed.filter(compile_query(dear, value, lambda path: F.get(F.col(_PARSED), F.lit(paths.index(path))))).drop(_PARSED)
+
+
+def retract_hits(hits: DataFrame, from_line: int) -> DataFrame:
+    """Hits before a line: those from it on are found anew when lines there have changed."""
+    return hits.filter(F.col("line_no") < from_line)
+
+
+def renew_hits(hits: DataFrame, lines: DataFrame, text: str, from_line: int, columns: Iterable[str] = (), *, line: str = "value", exact: bool = True) -> DataFrame:
+    """Hits of a filter after lines from ``from_line`` on were appended or rewritten; only those lines are looked at."""
+    return retract_hits(hits, from_line).unionByName(run_filter(lines, text, columns, line=line, exact=exact, from_line=from_line).select(hits.columns))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,24 +85,26 @@ def position(hits: DataFrame, current: int) -> DataFrame:
 
 
 def highlights(lines: DataFrame, query: str, *, line: str = "value") -> DataFrame:
-    """One row per match: keys of the line, begin, end (code points) and the text.
+    """One row per match that has characters: keys of the line, begin, end (code points) and the text.
 
-    Matches are those of the JVM's engine; each is found again in the line after the one before it.
+    A line is what stands between its matches and the matches in turn, both as the JVM's engine sees them in the whole line, so
+    places follow from lengths, whatever boundaries, anchors or looks around a pattern has.
     """
     pattern = check_pattern(lines.sparkSession, query)
     keys = [c for c in ("src", "line_no") if c in lines.columns]
-    found = lines.filter(matches(F.col(line), pattern)).select(*keys, F.col(line).alias("_l"), F.regexp_extract_all(F.col(line), F.lit(f"({pattern})"), F.lit(1)).alias("_m"))
-
-    @F.arrow_udf("array<struct<begin:int,end:int,text:string>>")
-    def spans(text: pa.Array, got: pa.Array) -> pa.Array:
-        out = []
-        for t, ms in zip(text.to_pylist(), got.to_pylist(), strict=True):
-            at, rows = 0, []
-            for m in ms:
-                if m and (b := t.find(m, at)) >= 0:
-                    at = b + len(m)
-                    rows.append({"begin": b, "end": at, "text": m})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
-
-    return found.select(*keys, F.inline(spans("_l", "_m")))
+    c = F.col(line)
+    found = lines.filter(matches(c, pattern)).select(*keys, F.split(c, pattern, -1).alias("_between"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("_all"))
+    # An empty match at a line's very beginning leaves no part before it.
+    own = F.when(F.size("_between") == F.size("_all"), F.slice("_all", F.lit(2), F.size("_all") - 1)).otherwise(F.col("_all"))
+    both = found.withColumn("_m", own)
+    turns = F.zip_with("_between", "_m", lambda b, m: F.struct(F.char_length(b).alias("gap"), m.alias("text")))
+    kind = "array<struct<begin:int,end:int,text:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def add(acc, t):
+        begin = acc["at"] + t["gap"]
+        end = begin + F.coalesce(F.char_length(t["text"]), F.lit(0))
+        span = F.array(F.struct(begin.alias("begin"), end.alias("end"), t["text"].alias("text"))).cast(kind)
+        return F.struct(end.alias("at"), F.when(end > begin, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return both.select(*keys, F.inline(F.aggregate(turns, start, add, lambda acc: acc["out"])))

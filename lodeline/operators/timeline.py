@@ -164,9 +164,10 @@ class Timeline:
 
 
 def union_columns(schemas: list[list[str]], cap: int = MAX_UNION_COLUMNS) -> tuple[list[str], int]:
-    """Columns of all sources as they first appear, at most ``cap``, and how many were left out."""
-    every = list(dict.fromkeys(c for s in schemas for c in s))
-    return every[:cap], max(0, len(every) - cap)
+    """Columns of all sources as they first appear, at most ``cap``, and how many mentions of others were left out."""
+    kept = list(dict.fromkeys(c for s in schemas for c in s))[:cap]
+    shown = set(kept)
+    return kept, sum(c not in shown for s in schemas for c in s)
 
 
 def union_cells(rows: DataFrame, own: list[str], names: list[str]) -> DataFrame:

@@ -177,6 +177,26 @@ def se_highlights(spark, d):
     return search.highlights(plain_events(spark, d), "user=").select("line_no", "begin", "end", "text")
 
 
+@register("se_highlights_boundary", f"""WITH x AS ({PLAIN_SQL}), m AS (SELECT line_no, value, unnest(regexp_extract_all(value, '\\b[0-9]+$')) AS text FROM x)
+SELECT line_no, CAST(len(value) - len(text) AS INTEGER) AS begin, CAST(len(value) AS INTEGER) AS "end", text FROM m""")
+def se_highlights_boundary(spark, d):
+    """The last number of a line, which also stands elsewhere in it."""
+    return search.highlights(plain_events(spark, d), r"\b\d+$").select("line_no", "begin", "end", "text")
+
+
+@register("se_highlights_ahead", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, CAST(strpos(value, 'event=') - 1 AS INTEGER) AS begin, CAST(strpos(value, 'event=') AS INTEGER) AS \"end\", 'e' AS text FROM x")
+def se_highlights_ahead(spark, d):
+    """A letter that is met often, only where a word follows it."""
+    return search.highlights(plain_events(spark, d), "(?-i)e(?=vent=)").select("line_no", "begin", "end", "text")
+
+
+@register("se_hits_renewed", f"WITH x AS ({PLAIN_SQL}) SELECT line_no FROM x WHERE contains(lower(value), 'error')")
+def se_hits_renewed(spark, d):
+    """Hits before a line stand, those from it on are found anew."""
+    lines = plain_events(spark, d)
+    return query.renew_hits(query.run_filter(lines, "error").select("line_no"), lines, "ERROR", 400)
+
+
 # --- levels ----------------------------------------------------------------------------------------------------
 
 

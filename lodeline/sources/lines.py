@@ -1,7 +1,8 @@
 """Log files as numbered lines: encodings, line ends, byte-order marks.
 
 ``read_lines`` numbers lines by the offset of the split that holds them: lines are counted per split, the counts are
-added up (one row per split), and lines are ranked within their split, so a file of any size is read in parallel.
+added up (one row per split), and a line's place in its split follows from consecutive ids, so a file of any size is read in
+parallel and no line is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 64 << 10
+#: The table of splits is broadcast up to so many rows.
+BROADCAST_SPLITS = 500_000
 BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 BOM = "﻿"
 
@@ -101,15 +104,35 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None, src:
         return _decoded(spark, path, encoding).select(F.lit(src).alias("src"), "path", "line_no", "value")
     raw = spark.read.option("lineSep", "\n").text(path)
     tagged = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
-    counts = tagged.groupBy("path", "_at").agg(F.count("*").alias("_n"))
-    first = counts.select("path", "_at", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    no = F.row_number().over(Window.partitionBy("path", "_at").orderBy("_id")) - 1
-    numbered = tagged.withColumn("_k", no).join(first, ["path", "_at"])
+    # A split's lines have consecutive ids, so a line's place in it needs its first id alone.
+    splits = tagged.groupBy("path", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_begin"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    first = splits.select("path", "_at", (F.coalesce(before, F.lit(0)) - F.col("_begin")).alias("_shift"))
+    numbered = tagged.join(F.broadcast(first) if split_bound(spark, path) <= BROADCAST_SPLITS else first, ["path", "_at"])
     line = F.regexp_replace("value", "\r$", "")
-    line_no = (F.col("_first") + F.col("_k")).cast("long")
+    line_no = (F.col("_shift") + F.col("_id")).cast("long")
     return numbered.select(F.lit(src).alias("src"), "path", line_no.alias("line_no"), F.when(line_no == 0, F.regexp_replace(line, f"^{BOM}", "")).otherwise(line).alias("value"))
 
 
+def split_bound(spark: SparkSession, path: str) -> int:
+    """No fewer than the splits that reading a file or folder has."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    opened = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    return held.getFileCount() + held.getLength() // max(1, min(size, opened))
+
+
+def head_lines(spark: SparkSession, path: str, encoding: str | None = None, n: int = HEAD_BYTES) -> list[str] | None:
+    """The whole lines among a file's first bytes; None for a folder."""
+    if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory():
+        return None
+    head = head_of(spark, path, n + 1)
+    text = head[:n].decode(encoding or detect_encoding(head), "replace")
+    rows = split_text(text[1:] if text.startswith(BOM) else text)
+    return rows[:-1] if len(head) > n and len(rows) > 1 and not text.endswith("\n") else rows
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, line_no, raw) with the bytes of each line, line ends cut; for exports that must not change a byte."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import DETECT_BYTES, DETECT_LINES, JSON_SHARE, LEAST_JSON_LINES, LEAST_SAMPLE_LINES, MAX_COLUMNS, SCHEMA_BYTES, SCHEMA_LINES, TS_NAMES, TS_SHARE
 from ..functions import jsonx
@@ -19,15 +19,15 @@ class Column:
     ordinal: int
 
 
-def sample(lines: DataFrame, n: int, most_bytes: int) -> list[str]:
-    """The first n lines, fewer where they are long; the line number reaches the scan, so little is read."""
-    rows = lines.filter(lines["line_no"] < n).orderBy("line_no").select("value").collect()
+def sample(lines: DataFrame | list[str], n: int, most_bytes: int) -> list[str]:
+    """The first n lines, fewer where they are long, of numbered lines or of those that a file begins with."""
+    first = lines[:n] if isinstance(lines, list) else [r.value for r in lines.filter(lines["line_no"] < n).orderBy("line_no").select("value").collect()]
     out, held = [], 0
-    for r in rows:
-        held += len(r.value.encode())
+    for x in first:
+        held += len(x.encode("utf-8", "surrogatepass"))
         if held > most_bytes and len(out) >= LEAST_SAMPLE_LINES:
             break
-        out.append(r.value)
+        out.append(x)
     return out
 
 
@@ -39,13 +39,13 @@ def _object(line: str):
     return value if isinstance(value, dict) else None
 
 
-def is_json_lines(lines: DataFrame) -> bool:
+def is_json_lines(lines: DataFrame | list[str]) -> bool:
     """Nine in ten of the first lines that aren't blank are JSON objects; under three lines tell nothing."""
     seen = [x for x in sample(lines, DETECT_LINES, DETECT_BYTES) if x.strip()]
     return len(seen) >= LEAST_JSON_LINES and sum(_object(x) is not None for x in seen) >= JSON_SHARE * len(seen)
 
 
-def discover_columns(lines: DataFrame) -> list[Column]:
+def discover_columns(lines: DataFrame | list[str]) -> list[Column]:
     """Top-level keys of the first lines as they first appear, with the widest value of each."""
     widths: dict[str, int] = {}
     for record in map(_object, sample(lines, SCHEMA_LINES, SCHEMA_BYTES)):
@@ -55,12 +55,12 @@ def discover_columns(lines: DataFrame) -> list[Column]:
     return [Column(k, w, i) for i, (k, w) in enumerate(widths.items())]
 
 
-def probe_route(path: str, lines: DataFrame, columns: list[str]) -> Route | Rejected:
+def probe_route(path: str, lines: DataFrame | list[str], columns: list[str], spark: SparkSession | None = None) -> Route | Rejected:
     """How a source tells time: the first usual field that half of the first lines can be read by, or a format of their beginnings.
 
     Lines that begin with white space continue others and have no vote.
     """
-    spark = lines.sparkSession
+    spark = spark or lines.sparkSession
     seen = [x for x in sample(lines, SCHEMA_LINES, SCHEMA_BYTES) if x.strip()]
     if len(seen) < LEAST_JSON_LINES:
         return Rejected(path, "too few lines")

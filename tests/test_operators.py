@@ -210,3 +210,55 @@ def test_job(spark):
     job.launch(lambda: 2)
     job.cancel()
     assert job.take() is None
+
+
+def test_highlights_see_the_whole_line(spark):
+    cases = [(r"\berror", "xerror error", [(7, 12)]), ("a(?=b)", "aa ab", [(3, 4)]), ("^a", "aa", [(0, 1)]), ("x*", "axxb", [(1, 3)]), ("x*", "xxb", [(0, 2)]), (r"(a)\1", "ba aa", [(3, 5)]), ("é", "aÉbé", [(1, 2), (3, 4)])]
+    for pattern, value, want in cases:
+        df = spark.createDataFrame([(0, value)], "line_no long, value string")
+        got = search.highlights(df, pattern).orderBy("begin").collect()
+        assert [(r.begin, r.end) for r in got] == want, pattern
+        assert [r.text for r in got] == [value[b:e] for b, e in want]
+
+
+def test_quantiles_in_crowded_bins(spark, monkeypatch):
+    import random
+
+    from lodeline.operators import profile
+
+    monkeypatch.setattr(profile, "FEW", 50)
+    monkeypatch.setattr(profile, "BINS", 4)
+    rng = random.Random(1)
+    for xs in ([rng.gauss(0, 1) for _ in range(700)] + [1e9, -1e12], [5.0] * 300, [1.0] * 200 + [2.0] * 200, [1e308, -1e308, *map(float, range(90))], [3.0], []):
+        scan = spark.createDataFrame([("Num", repr(x)) for x in xs] + [("Str", "a"), (None, None)], "kind string, raw string")
+        got = profile.numeric_stats(scan).first()
+        s = sorted(xs)
+        assert (got["count"], got.scope_rows, got.skipped) == (len(s), len(s) + 2, 2)
+        for k, p in profile.QUANTILES.items():
+            assert got[k] == s[int((len(s) - 1) * p + 0.5)] if s else got[k] != got[k]
+
+
+def test_copy_selection(spark):
+    from lodeline.operators import rows
+
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "line_no long, value string")
+    assert rows.copy_selection(df, text="t", cell="c") == "t" and rows.copy_selection(df, cell="") == ""
+    assert rows.copy_selection(df) == "a\nb\n" and rows.copy_selection(df, cap=1) == "a"
+
+
+def test_numbers_reach_the_scan(spark, sf):
+    from lodeline.operators import query
+
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    for text in ("value>50", "user_id>=100.5", "user_id<=7", "user_id=12"):
+        part = df.filter(query.compile_query(query.parse_query(text), F.lit(""), query.table_fields(df)))
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert any(x in plan.split("PushedFilters")[1] for x in ("LessThan", "GreaterThan", "EqualTo")), text
+    odd = spark.createDataFrame([(1, 1.5, 3), (2, float("nan"), -3), (3, float("inf"), None), (4, None, 1 << 60)], "line_no long, x double, n long")
+
+    def hits(text, fields):
+        return sorted(r.line_no for r in odd.filter(query.compile_query(query.parse_query(text), F.lit(""), fields)).collect())
+
+    as_text = lambda path: query.table_fields(odd)(path)
+    for text in ("x>1", "x>=1.5", "x<2", "x<=1.5", "x>abc", "n>2.5", "n>=3", "n<0", "n<=-3", "n=3", "n=3.0", "n=03", "n=-3", "n=3*", "n>1e30", "n=abc"):
+        assert hits(text, query.table_fields(odd)) == hits(text, as_text), text
