@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checked_broadcast, scratch_dir, stored
+from .shared import checked_broadcast, held, scratch_dir, stored
 from .words import hashed_words, parts_of
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
@@ -63,6 +63,7 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The set of each text, ascending."""
+    held("shingles", dict)
     h, offsets = hashed_words(texts)
     whole, at = rolled(h, WORDS), offsets.tolist()
     for begin, end in zip(at, at[1:], strict=False):

@@ -34,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import held
+
 SPACE = "▁"
 UNIT = 1 << 16
 BEST = 3
-CACHE = 500_000
+#: Words of a generation, and words whose n best are kept.
+CACHE, MORE = 350_000, 100_000
 LONG = 200
 
 
@@ -154,14 +157,10 @@ class Pieces:
             self.cache[word] = out
         return out
 
-    shared: dict[str, Pieces] = {}
-
     @classmethod
     def of(cls, path: str) -> Pieces:
         """This process's own; Spark's Python workers serve many tasks."""
-        if path not in cls.shared:
-            cls.shared[path] = cls(path)
-        return cls.shared[path]
+        return held(("pieces", path), lambda: cls(path))
 
     def words(self, text: str) -> list[str]:
         return self.word.findall(SPACE + text.replace(" ", SPACE))
@@ -205,7 +204,7 @@ class Pieces:
     def _alternatives(self, word: str, n: int) -> list[tuple[int, bytes]]:
         """The n best segmentations of a word by A*: (loss against the best, ids)."""
         if (word, n) not in self.more:
-            if len(self.more) >= CACHE:
+            if len(self.more) >= MORE:
                 self.more.clear()
             found = self.n_best(word, n)
             self.more[word, n] = [(found[0][0] - s, np.array(ids, "<u2").tobytes()) for s, ids in found]

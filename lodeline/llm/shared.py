@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,17 @@ def discard(spark: SparkSession, root: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """What a Python worker keeps between tasks, of one operator at a time: when another asks, the former's goes."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
     """A stored table with a hint to broadcast it if its rows are few enough, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import scratch_dir, stored
+from .shared import held, scratch_dir, stored
 from .words import coded_words, parts_of, strings_of
 
 END_ID = 2
@@ -54,14 +54,10 @@ class WordIds(dict):
     Two generations of words are kept: when the younger is full the older goes, and words met again move to the younger.
     """
 
-    shared: dict[str, WordIds] = {}
-
     @classmethod
     def of(cls, path: str) -> WordIds:
         """This process's own; Spark's Python workers serve many tasks."""
-        if path not in cls.shared:
-            cls.shared[path] = cls(path)
-        return cls.shared[path]
+        return held(("word ids", path), lambda: cls(path))
 
     def __init__(self, path: str):
         super().__init__()

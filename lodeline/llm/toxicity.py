@@ -9,7 +9,8 @@ batches, with no shuffle. Labels, lang, source and doc_id are never inputs of a
 
 Defined results: null and empty texts have all rates 0 and get the score of such a text; a document with
 several label rows counts as toxic if one says so; null labels don't count; with fewer than ``LEAST`` usable
-labels or only one class, the score is the squashed density of the fixed list; repeated rows score alike; an
+labels or only one class, the score is the squashed density of the fixed list; repeated rows score alike, and of the
+rows of one doc_id the text of least hash is learned from; a text of any length is looked at whole; an
 empty table gives an empty result; further columns are kept by ``with_score`` and not looked at.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Calibrated
+from .shared import held, stored
 
 #: Labelled rows that are learned from, at most; entries of the learned lexicon, at most.
 MAX_TRAIN, MAX_LEXICON = 40_000, 20_000
@@ -157,9 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     # At most max_train rows by an order of their own, so that they may be broadcast at any size.
     sample = usable.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     sample = docs.sparkSession.createDataFrame(sample.toArrow())
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(sample), "_id")
+    # One text of each sampled doc_id, the one of least hash: as many rows as the sample has, stored once for three passes.
+    found = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(sample), "_id")
+    rows = stored(found.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("_y").alias("_y")), "sample")
 
     def count(batches):
+        held("toxicity", dict)
         for batch in batches:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for t, y in zip(batch["_text"].to_pylist(), batch["_y"].to_pylist(), strict=True):
@@ -198,6 +203,7 @@ def with_score(docs: DataFrame, model: Model, *, text: str = "text", name: str =
     at = docs.columns.index(text)
 
     def score(batches):
+        held("toxicity", dict)
         known = Words(model.lexicon)
         for batch in batches:
             found = model.score(batch.column(at).to_pylist(), known)

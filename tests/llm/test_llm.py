@@ -374,6 +374,14 @@ def test_toxicity_odd(spark):
     assert toxicity.features("m0r0n", words)[toxicity.FEATURES.index("obfuscated")] == 1
 
 
+def test_toxicity_sample_is_bounded(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one = toxicity.train(docs, labels)
+    many = toxicity.train(docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(20)))).select("doc_id", "text"), labels)
+    assert many.lexicon == one.lexicon and (many.trees is None) == (one.trees is None)
+
+
 # --- 8 line dedup
 
 
