@@ -44,7 +44,7 @@ NUM, DEN = 4, 5
 LEAST_WORDS = 5
 #: Slots of the rarity table, a constant of this size in the plan.
 SLOTS = 1 << 17
-SMALL = 64
+SMALL = 512
 #: Words of this class and above have their lists dealt over parts of up to 2 ** SALT_FROM lines.
 SALT_FROM = 14
 
@@ -183,8 +183,14 @@ def later_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame
     long = stored(with_heads(words.filter("part < 0").join(many, "key", "left_semi").unionByName(words.filter("part >= 0"))), "long", root)
     with_head = long.filter("head is not null").select("no", F.col("head").alias("earlier"))
     pairs = stored(pairs_within(short, short).unionByName(with_head).distinct(), "pairs", root)
-    matched = verified(pairs, docs, lines, root, "first")
+    # Any one similar line decides: each line is held against its earliest candidate, the unmatched ones then against the others.
+    earliest = stored(pairs.groupBy("no").agg(F.min("earlier").alias("earlier")), "earliest", root)
+    matched = verified(earliest, docs, lines, root, "first")
     discard(spark, root, "first-keys", "first-wanted")
+    others = stored(pairs.join(matched, "no", "left_anti").join(earliest, ["no", "earlier"], "left_anti"), "others", root)
+    if not others.isEmpty():
+        matched = stored(matched.unionByName(verified(others, docs, lines, root, "second")), "matched", root)
+        discard(spark, root, "second-keys", "second-wanted")
     if not long.isEmpty():
         left = long.join(matched, "no", "left_anti")
         more = stored(pairs_within(left, long).join(pairs, ["no", "earlier"], "left_anti"), "more", root)
