@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DISTINCT_CAP, TOP_VALUES
 from ..functions import jsonx, text, timestamps
-from ..operators import export, layout, levels, profile, query, rows, search, timeline
-from ..sources import generate
-from ..sources.lines import lines_of_texts
+from ..operators import export, layout, levels, profile, query, rows, search, state, timeline
+from ..sources import generate, schema
+from ..sources.lines import BOM, HEAD_BYTES, detect_encoding, lines_of_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -474,3 +475,328 @@ def sk_csv_json(spark, d):
 @register("sk_pretty", 'SELECT event_id AS line_no, \'{\' || chr(10) || \'  "k": \' || json_extract_string(props, \'$.k\') || chr(10) || \'}\' AS text, true AS ok FROM events')
 def sk_pretty(spark, d):
     return export.pretty_rows(table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("value")))
+
+
+# --- opening, views and states -----------------------------------------------------------------------------------
+
+
+def _listed(spark: SparkSession, rows_: list[tuple], schema: str) -> DataFrame:
+    """What an operator says about a log as a whole, a few rows."""
+    return spark.createDataFrame(rows_, schema)
+
+
+@register("sc_encodings", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def sc_encodings(spark, d):
+    """Every text as a file of its own in one of three encodings: which is detected, and what is read back by it."""
+    written = ("utf-8", "utf-16-le", "utf-16-be")
+
+    def run(batches):
+        for batch in batches:
+            out = {"doc_id": batch["doc_id"].to_pylist(), "encoding": [], "text": []}
+            for i, value in zip(out["doc_id"], batch["text"].to_pylist(), strict=True):
+                data = (("" if i % 3 == 0 else BOM) + value).encode(written[i % 3])
+                found = detect_encoding(data[:HEAD_BYTES])
+                out["encoding"].append(found)
+                out["text"].append(data.decode(found, "replace").removeprefix(BOM))
+            yield pa.RecordBatch.from_pydict(out)
+
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    return docs.mapInArrow(run, "doc_id long, encoding string, text string").select("doc_id", "encoding", F.md5("text").alias("text_md5"))
+
+
+@register("sc_detect", "SELECT unnest(['plain', 'json']) AS log, unnest([false, true]) AS is_json")
+def sc_detect(spark, d):
+    return _listed(spark, [("plain", schema.is_json_lines(plain_events(spark, d))), ("json", schema.is_json_lines(json_events(spark, d)))], "log string, is_json boolean")
+
+
+@register("sc_columns", f"""WITH h AS (SELECT value FROM ({JSON_SQL}) WHERE line_no < 512),
+w AS (SELECT max(len(json_extract_string(value, '$.level'))) AS l, max(len(json_extract_string(value, '$.user'))) AS u, max(len(json_extract_string(value, '$.id'))) AS i, max(len(CAST(json_extract(value, '$.props') AS VARCHAR))) AS p FROM h)
+SELECT unnest(['level', 'user', 'id', 'props']) AS name, unnest([0, 1, 2, 3])::INTEGER AS ordinal, unnest([greatest(5, l), greatest(4, u), greatest(2, i), greatest(5, p)])::INTEGER AS width_chars FROM w""")
+def sc_columns(spark, d):
+    """Columns as they first appear and their widest values."""
+    return _listed(spark, [(c.name, c.ordinal, c.width_chars) for c in schema.discover_columns(json_events(spark, d))], "name string, ordinal int, width_chars int")
+
+
+@register("sc_routes", "SELECT unnest([0, 1, 2, 3])::INTEGER AS src, unnest(['field ts', 'prefix iso', 'no field is named like a time', 'lines begin with no known time']) AS label")
+def sc_routes(spark, d):
+    """How four logs tell time, or why they can't be merged."""
+    timed, plain = two_sources(spark, d)
+    texts = table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("event_type").alias("value"))
+    found = [schema.probe_route("a", timed.lines, timed.columns), schema.probe_route("b", plain.lines, []), schema.probe_route("c", json_events(spark, d), ["level", "user"]), schema.probe_route("d", texts, [])]
+    return _listed(spark, [(i, r.label if isinstance(r, timeline.Route) else r.reason) for i, r in enumerate(found)], "src int, label string")
+
+
+@register("sc_synthetic_truth", "SELECT s::INTEGER AS src, CASE WHEN s % 2 = 0 THEN 'jsonl' ELSE 'log' END AS format, CAST((s % 5 - 2) * 1700 AS INTEGER) AS skew_ms, CAST(3000 AS BIGINT) AS lines FROM range(6) t(s)")
+def sc_synthetic_truth(spark, d):
+    return generate.merge_sources(spark, 3000, 6)[1].select("src", "format", "skew_ms", "lines")
+
+
+_CLAUSES = [("event_type", query.EQ, "error"), ("event_type", query.PREFIX, "pur"), ("user_id", query.GE, "50"), ("value", query.LT, "12.5")]
+_CLAUSE_SQL = ["event_type = 'error'", "starts_with(event_type, 'pur')", "user_id >= 50", "value < 12.5"]
+
+
+@register("fl_built", " UNION ALL ".join(f"SELECT '{c}' AS clause, count(*) AS n FROM events WHERE {w}" for c, w in zip(("event_type=error", "event_type=pur*", "user_id>=50", "value<12.5"), _CLAUSE_SQL, strict=True)))
+def fl_built(spark, d):
+    """Clauses built from their parts, and the rows that each selects when it is read again."""
+    df = table(spark, d, "events")
+    built = [query.build_clause(*c) for c in _CLAUSES]
+    holds = [query.compile_query(query.parse_query(c), F.lit(""), query.table_fields(df)) for c in built]
+    counts = df.agg(*[F.count(F.when(h, 1)).alias(f"c{i}") for i, h in enumerate(holds)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("clause"), F.col(f"c{i}").alias("n")) for i, c in enumerate(built)])))
+
+
+@register("fl_refused", "SELECT unnest(['a b', 'a=b', 'a<b', 'a>b', 'a.b', '', 'f', 'f', 'f', 'f', 'f', 'f']) AS field, unnest(['v', 'v', 'v', 'v', 'v', 'v', 'a b', 'a<b', 'a>b', '=v', 'v*', '']) AS value, true AS refused")
+def fl_refused(spark, d):
+    """Parts that no clause can be written from, since it would be read as another."""
+    parts = [*((f, "v") for f in ("a b", "a=b", "a<b", "a>b", "a.b", "")), *(("f", v) for v in ("a b", "a<b", "a>b", "=v", "v*", ""))]
+    return _listed(spark, [(f, v, query.build_clause(f, query.EQ, v) is None) for f, v in parts], "field string, value string, refused boolean")
+
+
+@register("fl_appended", "SELECT event_id FROM events WHERE user_id >= 50 AND event_type = 'error'")
+def fl_appended(spark, d):
+    return filtered_events(spark, d, query.append_clause(" user_id>=50 ", query.build_clause("event_type", query.EQ, "ERROR"))).select("event_id")
+
+
+@register("fl_toggled", "SELECT 'on' AS state, count(*) AS n FROM events WHERE starts_with(event_type, 'error') UNION ALL SELECT 'off', count(*) FROM events")
+def fl_toggled(spark, d):
+    """A level's clause in the place of another query, and the same clause again."""
+    clause = levels.level_clauses("event_type")["ERROR"]
+    on = query.toggle("user_id>=50", clause, EVENT_COLUMNS)
+    off = query.toggle("EVENT_TYPE=ERROR*", clause, EVENT_COLUMNS)
+    count = lambda q, state: filtered_events(spark, d, q).agg(F.lit(state).alias("state"), F.count("*").alias("n"))
+    return count(on, "on").unionByName(count(off, "off"))
+
+
+@register("lv_column", _level_sql("SELECT * FROM events", "starts_with(upper(event_type), '{0}')") + ", level = 'ERROR' AS active FROM j")
+def lv_column(spark, d):
+    """Levels by the column that is named like one, and the level that a query selects."""
+    df = table(spark, d, "events").withColumnRenamed("event_type", "Severity")
+    column = levels.find_level_column(df.columns)
+    out = _rounded(levels.count_levels(df, levels.field_level(F.col(column)), column)).select("ord", "level", "n", "bar_fraction")
+    return out.withColumn("active", F.col("level") == F.lit(levels.active_level("severity=ERROR*", column, df.columns)))
+
+
+@register("lv_appended", _level_sql(PLAIN_SQL, "contains(value, '{0}')").split("SELECT CAST(ord")[0] + "SELECT level, n FROM j")
+def lv_appended(spark, d):
+    """Counts up to a line that was still growing, brought up to date from that line on."""
+    lines = plain_events(spark, d)
+    counts = lambda df: {r.level: r.n for r in levels.count_levels(df, levels.line_level(F.col("value"))).collect()}
+    old = counts(lines.filter("line_no < 400"))
+    last = lines.filter("line_no = 399").select(levels.line_level(F.col("value"))).first()
+    new = counts(lines.filter("line_no >= 399")) if last else counts(lines)
+    return _listed(spark, list(levels.append_counts(old, last and last[0], new).items()), "level string, n long")
+
+
+ORACLES["lv_documents"] = _level_sql(
+    "SELECT left(hex(encode(coalesce(text, ''))), 400) AS head FROM documents", "regexp_matches(head, '^(..)*' || hex(encode('{0}')))"
+).split("SELECT CAST(ord")[0] + "SELECT CAST(ord AS INTEGER) AS ord, level, n FROM j"
+
+
+@register("an_vote", "SELECT unnest(['user_id', 'event_type', 'half', 'under_half', 'rare']) AS field, unnest([true, false, true, false, false]) AS is_numeric")
+def an_vote(spark, d):
+    """Whether half of the first rows are numbers; rows without the field count."""
+    df, i, user = table(spark, d, "events"), F.col("event_id"), F.col("user_id").cast("string")
+    nth = F.col("event_id") - df.agg(F.min("event_id")).first()[0]
+    kind = lambda of: df.select(i.alias("line_no"), of.alias("kind"), user.alias("raw"))
+    fields = {
+        "user_id": kind(F.lit("Num")), "event_type": kind(F.lit("Str")), "half": kind(F.when(nth < 50, "Num").otherwise("Str")),
+        "under_half": kind(F.when(nth < 49, "Num").otherwise("Str")), "rare": kind(F.when(nth < 10, "Num")),
+    }
+    return _listed(spark, [(k, profile.is_numeric(v, ["line_no"])) for k, v in fields.items()], "field string, is_numeric boolean")
+
+
+@register("an_tagged", "WITH c AS (SELECT event_type AS value, count(*) AS n FROM events WHERE user_id >= 20 GROUP BY 1) SELECT value, n, 'user>=20' AS filter_text FROM c")
+def an_tagged(spark, d):
+    """A profile says which filter made its scope."""
+    scope = query.run_filter(json_events(spark, d), "user>=20", ["level", "user"])
+    found = profile.analyze(scope, "level", filter_text="user>=20")
+    return found.rows.select("value", "n", "filter_text")
+
+
+# --- merged views --------------------------------------------------------------------------------------------------
+
+#: Even users' events as JSON lines in UTC, odd users' as plain lines in a zone of their own.
+HALF = "(user_id % 2)"
+
+
+def two_sources(spark: SparkSession, d: str, zone: str = "+8", offset_ms: int = 0) -> tuple[timeline.Source, timeline.Source]:
+    events = table(spark, d, "events")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    json_text = F.concat(F.lit('{"ts":"'), stamp, F.lit('","kind":"'), "event_type", F.lit('"}'))
+    a = events.filter(f"{HALF} = 0").select(F.col("event_id").alias("line_no"), json_text.alias("value"))
+    plain = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "event_type", F.lit("  "))
+    b = events.filter(f"{HALF} = 1").select(F.col("event_id").alias("line_no"), plain.alias("value"))
+    return (
+        timeline.Source("a.jsonl", a, timeline.Route(field="ts"), ["ts", "kind"]),
+        timeline.Source("b.log", b, timeline.Route(form="iso"), [], offset_ms, timestamps.zone_ms(zone)),
+    )
+
+
+def _two_sql(shift_ms: int, where: str = "true") -> str:
+    """Order of the two sources, the plain one's clock shifted."""
+    return f"""WITH s AS (SELECT CAST({HALF} AS INTEGER) AS src, event_id AS line_no, event_type, epoch_us(date_trunc('second', ts)) // 1000 + CASE {HALF} WHEN 0 THEN 0 ELSE {shift_ms} END AS ts FROM events WHERE {where}),
+ r AS (SELECT *, max(ts) OVER (PARTITION BY src ORDER BY line_no) AS reached FROM s),
+ m AS (SELECT *, row_number() OVER (ORDER BY reached, src, line_no) - 1 AS merge_pos FROM r)"""
+
+
+@register("mg_extract", _two_sql(-28_800_000 - 7000) + " SELECT src, line_no, ts AS ts_raw FROM m")
+def mg_extract(spark, d):
+    """Times of a JSON source and of a plain one with its own zone and clock."""
+    a, b = two_sources(spark, d, "+8", -7000)
+    return timeline.extract(a, 0).unionByName(timeline.extract(b, 1)).select("src", "line_no", "ts_raw")
+
+
+@register("mg_set_time", _two_sql(19_800_000 + 2500) + " SELECT src, line_no, ts, merge_pos FROM m")
+def mg_set_time(spark, d):
+    """One source's clock and zone are changed after the merge."""
+    line = timeline.merge(spark, list(two_sources(spark, d))).set_time(1, offset_ms=2500, zone_ms=timestamps.zone_ms("-5.5"))
+    return line.rows().select("src", "line_no", "ts", "merge_pos")
+
+
+@register("mg_zones", "SELECT unnest(['+8', '-5.5', '+05:30', '0', '23', '', '+-8', '+24', 'abc', '+05:60']) AS zone, unnest(['28800000', '-19800000', '19800000', '0', '82800000', 'none', 'none', 'none', 'none', 'none']) AS ms")
+def mg_zones(spark, d):
+    shown = lambda ms: "none" if ms is None else str(ms)
+    return _listed(spark, [(z, shown(timestamps.zone_ms(z))) for z in ("+8", "-5.5", "+05:30", "0", "23", "", "+-8", "+24", "abc", "+05:60")], "zone string, ms string")
+
+
+@register("mg_row_at", _two_sql(-28_800_000) + " SELECT src, line_no, merge_pos FROM m WHERE merge_pos = 321")
+def mg_row_at(spark, d):
+    return timeline.merge(spark, list(two_sources(spark, d))).row_at(321).select("src", "line_no", "merge_pos")
+
+
+@register("mg_position_of", _two_sql(-28_800_000) + " SELECT merge_pos FROM m WHERE line_no = 250")
+def mg_position_of(spark, d):
+    """The place of one event's line, whichever source has it."""
+    line = timeline.merge(spark, list(two_sources(spark, d)))
+    return line.position_of(0, 250).unionByName(line.position_of(1, 250))
+
+
+@register("mg_trace_cleared", _two_sql(-28_800_000) + " SELECT count(*) FILTER (WHERE contains(event_type, 'click')) AS traced, count(*) AS cleared FROM m")
+def mg_trace_cleared(spark, d):
+    traced = timeline.merge(spark, list(two_sources(spark, d))).trace("CLICK")
+    return traced.rows().agg(F.count("*").alias("traced")).crossJoin(traced.trace(None).rows().agg(F.count("*").alias("cleared")))  # a row each
+
+
+@register("mg_snapped", f"WITH x AS ({JSON_SQL}) SELECT line_no, CAST(strpos(value, json_extract_string(value, '$.level')) - 1 AS INTEGER) AS begin, CAST(strpos(value, json_extract_string(value, '$.level')) - 1 + len(json_extract_string(value, '$.level')) AS INTEGER) AS \"end\" FROM x")
+def mg_snapped(spark, d):
+    """A selection of two characters within a value grows to the whole string."""
+
+    def run(batches):
+        for batch in batches:
+            lines = batch["value"].to_pylist()
+            found = [text.snap_json_string(v, 11, 13) or (None, None) for v in lines]
+            yield pa.RecordBatch.from_pydict({"line_no": batch["line_no"], "begin": [b for b, _ in found], "end": [e for _, e in found]}, schema=pa.schema([("line_no", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]))
+
+    return json_events(spark, d).mapInArrow(run, "line_no long, begin int, end int")
+
+
+@register("mg_carried", f"SELECT CAST(1 - {HALF} AS INTEGER) AS src, event_id AS line_no FROM events WHERE event_type = 'signup'")
+def mg_carried(spark, d):
+    """Bookmarks follow their files when the order of sources changes."""
+    marks = table(spark, d, "events").filter("event_type = 'signup'").select(F.expr(f"cast({HALF} as int)").alias("src"), F.col("event_id").alias("line_no"))
+    return timeline.carry_state(marks, ["a.jsonl", "b.log"], ["b.log", "a.jsonl"]).select("src", "line_no")
+
+
+@register("mg_rejected", "SELECT 'c.log' AS path, 'lines begin with no known time' AS reason UNION ALL SELECT 'p8', 'too many sources' UNION ALL SELECT 'p9', 'too many sources'")
+def mg_rejected(spark, d):
+    """A source without times and those beyond the eighth; the others are merged."""
+    texts = table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("event_type").alias("value"))
+    refused = schema.probe_route("c.log", texts, [])
+    a, _ = two_sources(spark, d)
+    merged = timeline.merge(spark, [refused, *[timeline.Source(f"p{i}", a.lines, a.route, a.columns) for i in range(10)]])
+    return _listed(spark, [(r.path, r.reason) for r in merged.rejected], "path string, reason string")
+
+
+@register("mg_group", _two_sql(-28_800_000 - 7000, f"{HALF} = 1") + " SELECT src, line_no, merge_pos FROM m")
+def mg_group(spark, d):
+    """A saved group is opened again with its clocks and what it hides; a file that is gone is left out."""
+    a, b = two_sources(spark, d, "+8", -7000)
+    saved = state.group_of([*timeline.merge(spark, [a, b]).hide(0).sources, timeline.Source("gone.log", b.lines, b.route)])
+    fresh = {s.path: s for s in two_sources(spark, d, "0")}
+    return timeline.merge(spark, state.restore_group(saved, fresh)).rows().select("src", "line_no", "merge_pos")
+
+
+@register("mg_table", _two_sql(-28_800_000) + " SELECT src, line_no, merge_pos, CASE src WHEN 0 THEN event_type ELSE '' END AS kind FROM m")
+def mg_table(spark, d):
+    """The merged table; cells of plain lines are blank."""
+    return timeline.merge(spark, list(two_sources(spark, d))).table().select("src", "line_no", "merge_pos", F.col("cells.kind").alias("kind"))
+
+
+@register("mg_text", f"SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type AS value FROM events WHERE {HALF} = 1")
+def mg_text(spark, d):
+    """Merged lines lose the space at their ends."""
+    return timeline.merge(spark, list(two_sources(spark, d))).hide(0).text().select("line_no", "value")
+
+
+# --- expansion, layout, copies -------------------------------------------------------------------------------------
+
+_OPEN_SQL = "SELECT event_id AS line_no, CAST(CASE WHEN event_id % 5 = 0 AND json_extract_string(props, '$.k') IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS n_sub FROM events WHERE event_type <> 'view'"
+_DISPLAY_SQL = f"WITH c AS ({_OPEN_SQL}), p AS (SELECT *, CAST(coalesce(sum(n_sub + 1) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shown_at FROM c)"
+
+
+def expanded_events(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that a filter shows, every fifth line expanded, also those out of view."""
+    lines = table(spark, d, "events").select(F.col("event_id").alias("line_no"), "event_type", F.col("props").alias("value"))
+    return rows.sub_counts(lines.filter("event_type <> 'view'"), lines.filter("line_no % 5 = 0")).select("line_no", F.col("n_sub").cast("int").alias("n_sub"))
+
+
+@register("rs_expanded", _OPEN_SQL)
+def rs_expanded(spark, d):
+    return expanded_events(spark, d)
+
+
+@register("rs_line_at", _DISPLAY_SQL + " SELECT line_no, CAST(400 - shown_at - 1 AS INTEGER) AS sub_off FROM p WHERE shown_at <= 400 AND 400 <= shown_at + n_sub")
+def rs_line_at(spark, d):
+    return rows.line_at(rows.display_rows(expanded_events(spark, d)), 400)
+
+
+@register("rs_bookmarks", "WITH m AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rank, lead(event_id) OVER (ORDER BY event_id) AS later, min(event_id) OVER () AS least FROM events WHERE event_type = 'signup' AND event_id < 400) SELECT event_id, CAST(rank AS BIGINT) AS rank, coalesce(later, least) AS next_mark FROM m")
+def rs_bookmarks(spark, d):
+    """Places of bookmarks, and the next of each, the first after the last."""
+    marks: set[int] = set()
+    for r in filtered_events(spark, d, "event_type=signup event_id<400").select("event_id").collect():
+        marks = rows.toggle_bookmark(marks, r.event_id)
+    return _listed(spark, [(m, rows.bookmark_rank(marks, m), rows.next_bookmark(marks, m)) for m in sorted(marks)], "event_id long, rank long, next_mark long")
+
+
+@register("sf_label", "SELECT event_id AS line_no, 'k = ' || json_extract_string(props, '$.k') AS text FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def sf_label(spark, d):
+    return rows.sub_rows(table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.col("props").alias("value"))).select("line_no", "text")
+
+
+@register("cl_reconciled", "SELECT props, event_id, event_type FROM events")
+def cl_reconciled(spark, d):
+    """A saved layout over a table that lost one column and has others that it doesn't know."""
+    view = layout.Layout(["props", "gone", "event_id", "value"], ["value", "gone"])
+    df = table(spark, d, "events").select("event_id", "value", "props", "event_type")
+    view.reconcile(df.columns)
+    return view.select(df)
+
+
+@register("cl_widths", "SELECT unnest(['event_id', 'ts', 'props']) AS name, unnest([40.0, 120.0, 512.0])::DOUBLE AS width")
+def cl_widths(spark, d):
+    view = layout.Layout.of(EVENT_COLUMNS)
+    for name, width in (("event_id", 3.0), ("ts", 120.0), ("props", 9000.0), ("unknown", 100.0)):
+        view.resize(name, width)
+    return _listed(spark, [(k, float(w)) for k, w in view.widths.items()], "name string, width double")
+
+
+@register("sk_line_set", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, value FROM x WHERE contains(value, 'ERROR')")
+def sk_line_set(spark, d):
+    """A plain log's export holds its search; its filter has no say."""
+    lines = plain_events(spark, d)
+    return export.choose_set(False, query.run_filter(lines, "warn"), search.search_lines(lines, "(?-i)ERROR"), lines).select("line_no", "value")
+
+
+@register("sk_frozen", f"WITH x AS ({PLAIN_SQL}) SELECT line_no, value FROM x WHERE line_no IN (5, 17, 90)")
+def sk_frozen(spark, d):
+    """A set of lines as of now: numbers that repeat or that the log lacks go."""
+    lines = plain_events(spark, d)
+    kept = export.frozen([90, 17, 5, 17, -1, 10**9], lines.count())
+    return rows.subset(lines, _listed(spark, [(n,) for n in kept], "line_no long"))
+
+
+@register("sk_copied", f"WITH x AS ({PLAIN_SQL}) SELECT md5(string_agg(value, chr(10) ORDER BY line_no)) AS copied FROM x WHERE contains(value, 'WARN')")
+def sk_copied(spark, d):
+    """The chosen rows' lines, in order, as one text."""
+    return _listed(spark, [(rows.copy_selection(search.search_lines(plain_events(spark, d), "(?-i)WARN")),)], "copied string").select(F.md5("copied").alias("copied"))
