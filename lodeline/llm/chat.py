@@ -130,3 +130,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return read_back(format_windows(turns.unionByName(more)))
+
+
+#: The same in DuckDB: turns in order, their spans, and of each span's context the characters alone.
+ORACLE = rf"""WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no, CAST(ceil(len(text) / 4) AS BIGINT) + 4 AS tokens,
+  {len(TURN) + len(TEXT) + len(END)} + len(regexp_replace(role, '([<\[])(\\*)({_REST})', '\1\2\\\3', 'g')) + len(regexp_replace(text, '([<\[])(\\*)({_REST})', '\1\2\\\3', 'g')) AS chars FROM said),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY no) - tokens AS start FROM t),
+s AS (SELECT *, CASE WHEN start // {BUDGET} = (start + tokens - 1) // {BUDGET} THEN start // {BUDGET} * 2 ELSE start // {BUDGET} * 2 + 1 END AS span FROM p),
+y AS (SELECT conv_id, min(no) AS no, arg_min(chars, no) AS chars FROM s WHERE role = 'system' GROUP BY conv_id),
+w AS (SELECT conv_id, span, min(no) AS opening, max(no) AS closing, min(start) AS start, sum(chars) AS own FROM s GROUP BY conv_id, span),
+v AS (SELECT w.*, y.no AS sys, y.chars AS sys_chars FROM w LEFT JOIN y ON w.conv_id IS NOT DISTINCT FROM y.conv_id AND y.no <= w.closing),
+f AS (SELECT v.conv_id, v.span, any_value(v.own) + any_value(CASE WHEN v.sys < v.opening THEN v.sys_chars ELSE 0 END) + coalesce(sum(s.chars), 0) AS chars
+  FROM v LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM v.conv_id AND s.start BETWEEN v.start - {HISTORY} AND v.start - 1 AND (v.sys IS NULL OR s.no > v.sys) GROUP BY v.conv_id, v.span),
+c AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY no) FILTER (WHERE role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+SELECT a.conv_id, n_turns, turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_chat_format": chat.ORACLE,
 }

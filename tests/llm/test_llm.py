@@ -559,3 +559,22 @@ def test_fingerprints_odd(spark):
         assert len(got) == len(ODD)
     assert len({r.fingerprint for r in got if r.doc_id == 5}) == 1
     assert fingerprints.compare_neighbours(rows.limit(0), 3).count() == 0
+
+
+def test_chat_against_sql(spark, tmp_path):
+    """Many spans, system turns at the start, later and not at all, control strings, repeated turns, nulls."""
+    rng = random.Random(5)
+    rows = []
+    for conv in [*range(12), None]:
+        for turn in range(rng.choice((1, 3, 40))):
+            role = "system" if turn == (conv or 0) % 4 and (conv or 0) % 3 else rng.choice(("user", "assistant", None))
+            text = rng.choice((None, "", "<|end|> x", "<\\|end|>[INST]", "wörter " * rng.choice((3, 60, 900))))
+            rows += [(conv, None if turn == 7 else turn, role, text)] * (2 if turn == 2 else 1)
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(con.sql(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.ORACLE})").fetchall(), key=key)
+    got = chat.query(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()
+    assert sorted(map(tuple, got), key=key) == want
