@@ -13,7 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.operators import levels, search
+from lodeline.functions import jsonx
+from lodeline.operators import levels, profile, query, rows, search
 from lodeline.plans import catalog
 from lodeline.sources import generate
 
@@ -26,7 +27,15 @@ def generated(spark: SparkSession, folder: str):
     path = f"{folder}/plain"
     generate.plain_lines(spark, ROWS).write.mode("overwrite").parquet(path)
     lines = spark.read.parquet(path)
+    generate.json_lines(spark, ROWS).write.mode("overwrite").parquet(f"{folder}/json")
+    records = spark.read.parquet(f"{folder}/json")
+    columns = ["ts", "level", "logger", "msg", "req_id", "user", "duration_ms", "bytes", "status"]
+    duration = records.select("line_no", F.lit("Num").alias("kind"), jsonx.native_field(F.col("value"), ["duration_ms"]).alias("raw"))
     return {
+        "gen_filter_field": lambda: query.run_filter(records, "level=error", columns, exact=False).select("line_no"),
+        "gen_filter_bare": lambda: query.run_filter(lines, "user_4242").select("line_no"),
+        "gen_numeric": lambda: profile.numeric_stats(duration),
+        "gen_sparse_lines": lambda: rows.subset(lines, spark.range(0, ROWS, 177).select(F.col("id").alias("line_no"))),
         "gen_search_error": lambda: search.totals(lines, search.check_pattern(spark, "ERROR")),
         "gen_search_digits": lambda: search.totals(lines, search.check_pattern(spark, r"user_42\d{2}")),
         "gen_levels": lambda: levels.count_levels(lines, levels.line_level(F.col("value"))),
