@@ -605,11 +605,11 @@ def an_vote(spark, d):
     return _listed(spark, [(k, profile.is_numeric(v, ["line_no"])) for k, v in fields.items()], "field string, is_numeric boolean")
 
 
-@register("an_tagged", "WITH c AS (SELECT event_type AS value, count(*) AS n FROM events WHERE user_id >= 20 GROUP BY 1) SELECT value, n, 'user>=20' AS filter_text FROM c")
+@register("an_tagged", "WITH c AS (SELECT event_type AS value, count(*) AS n FROM events WHERE event_id >= 20 GROUP BY 1) SELECT value, n, 'id>=20' AS filter_text FROM c")
 def an_tagged(spark, d):
     """A profile says which filter made its scope."""
-    scope = query.run_filter(json_events(spark, d), "user>=20", ["level", "user"])
-    found = profile.analyze(scope, "level", filter_text="user>=20")
+    scope = query.run_filter(json_events(spark, d), "id>=20", ["level", "id"])
+    found = profile.analyze(scope, "level", filter_text="id>=20")
     return found.rows.select("value", "n", "filter_text")
 
 
