@@ -105,10 +105,10 @@ def quantiles(counts: DataFrame, value: str, weight: str, ps: dict[str, float],
     return ranked.agg(*picked)
 
 
-def enum_stats(scan: DataFrame, top: int = TOP_VALUES, cap: int = DISTINCT_CAP) -> DataFrame:
+def enum_stats(scan: DataFrame, top: int = TOP_VALUES, cap: int | None = DISTINCT_CAP) -> DataFrame:
     """Most frequent values: rank, value, n, and on each row others, total, skipped, capped, scope_rows.
 
-    Only the first ``cap`` values to appear are told apart; rows of later ones are in ``others``. A field that
+    Only the first ``cap`` values to appear are told apart; rows of later ones are in ``others``. Without a cap (None) all are. A field that
     is missing or nested is skipped. The counts add up: sum of n and others is total. An empty scope gives one row
     without a value.
     """
@@ -118,14 +118,14 @@ def enum_stats(scan: DataFrame, top: int = TOP_VALUES, cap: int = DISTINCT_CAP)
     totals = rows.agg(F.count("*").alias("scope_rows"), F.count("value").alias("total"))
     each = rows.filter("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min("_at").alias("_at"))
     distinct = each.agg(F.count("*").alias("_distinct"))
-    kept = each.orderBy("_at").limit(cap)
+    kept = each if cap is None else each.orderBy("_at").limit(cap)
     best = kept.orderBy(F.desc("n"), "value").limit(top)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
     summary = totals.join(distinct, F.lit(True)).withColumn("_one", F.lit(1))
     shown = ranked.withColumn("_one", F.lit(1))
     out = summary.join(shown, "_one", "left")  # at most ``top`` rows
     listed = F.coalesce(F.sum("n").over(Window.partitionBy("_one")), F.lit(0))
-    return out.select("rank", "value", "n", (F.col("total") - listed).alias("others"), "total", (F.col("scope_rows") - F.col("total")).alias("skipped"), (F.col("_distinct") > cap).alias("capped"), "scope_rows")
+    return out.select("rank", "value", "n", (F.col("total") - listed).alias("others"), "total", (F.col("scope_rows") - F.col("total")).alias("skipped"), (F.lit(False) if cap is None else F.col("_distinct") > cap).alias("capped"), "scope_rows")
 
 
 @dataclass
