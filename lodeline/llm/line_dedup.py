@@ -7,13 +7,15 @@ Order: lines that are equal in lower case are one distinct line, whose first pla
 line number); distinct lines are numbered along those. Of a distinct line only the first place can stay, and it stays unless
 a similar distinct line has a lower number.
 
-Words are 64-bit keys: their rarity class (power of two of the count of all words in their hash slot, over the
+Words are 64-bit keys: their rarity class (power of two of the count of all words in their hash slot, of 1,048,576, over the
 whole table) in the high bits, their hash below, so sorting keys is rarest-first and equal keys are equal words.
 Similar lines of n and m words share one of the first n - ceil(0.8 n) + 1 of each (prefix filter); at their first
 shared one at places i and j the overlap is 1 + min(n - i - 1, m - j - 1) at most (positional filter); lengths differ by
-a fifth at most (length filter). A line also has the parities of its words' hashes in 64 slots: each word that only one
+a fifth at most (length filter). A line also has the parities of its words' hashes in 128 slots: each word that only one
 of two lines has changes one bit at most, so two lines whose parities differ in more bits than they may differ in words are
-no pair (an exact bitmap filter). What passes is verified once, by intersecting the sets.
+no pair (an exact bitmap filter). With 64 slots one in four pairs of a similarity of 0.7 would pass, as copies of one line with edits of their
+own have, and those grow with the square of their number. Of a line's pairs the one whose parities differ least is verified, by intersecting
+the sets; only lines that it leaves unmatched are held against the rest, by 256 more parities first.
 
 Sets of up to four words are similar only if they are equal, or if one of four lies in one of five. So
 lines of up to four words are grouped by the hash of their set, and a line of five joins the groups of its five
@@ -33,6 +35,7 @@ its lines, of any number; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,9 @@ NUM, DEN = 4, 5
 #: ``later_lines`` starts here unless told otherwise; sets of fewer words are grouped whole.
 LEAST_WORDS = 5
 #: Slots of the rarity table, a constant of this size in the plan.
-SLOTS = 1 << 17
+SLOTS = 1 << 20
+#: Slots that share a number of the table, with so many bits each.
+PER_LONG, CLASS_BITS = 16, 4
 SMALL = 512
 #: Words of this class and above have their lists dealt over parts of up to 2 ** SALT_FROM lines.
 SALT_FROM = 14
@@ -55,30 +60,41 @@ def words_of(line: Column) -> Column:
     return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
-def rarity_classes(docs: DataFrame) -> list[int]:
-    """For each of ``SLOTS`` hash slots the power of two of the words that fall in it. A row per slot and task is shuffled, and the slots are collected, 512 of them a row."""
+def rarity_classes(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """For each of ``SLOTS`` hash slots the class of the words that fall in it, and the power of two that class 0 stands for.
+
+    A class is a power of two of the slot's count; what is rarer than a quarter of a slot's mean share is class 0, as it can't be told from
+    what else falls in the slot. A row per slot and task is shuffled, a row per slot collected.
+    """
     lines = docs.select(F.explode_outer(F.split(F.lower("text"), "\n")).alias("line"))
     words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).filter("w <> ''")
-    counts = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).groupBy("slot").agg(F.log2(F.count("*")).cast("int").alias("c"))
-    packed = counts.groupBy(F.shiftright("slot", 9)).agg(F.collect_list(F.concat_ws(":", "slot", "c")).alias("x")).select(F.array_join("x", ",").alias("x"))
-    out = [0] * SLOTS
-    for r in packed.collect():
-        for slot, c in (pair.split(":") for pair in r.x.split(",")):
-            out[int(slot)] = min(31, int(c))
-    return out
+    counts = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("c"))
+    found = counts.toArrow()
+    n = np.zeros(SLOTS, np.int64)
+    n[found["slot"].to_numpy()] = found["c"].to_numpy()
+    least = max(0, int(np.log2(max(1, n.sum() / SLOTS))) - 2)
+    return np.clip(np.log2(np.maximum(n, 1)).astype(np.int64) - least, 0, (1 << CLASS_BITS) - 1), least
+
 
+def packed(classes: np.ndarray) -> list[int]:
+    """``PER_LONG`` classes in a number, the first lowest."""
+    return (classes.reshape(-1, PER_LONG).astype(np.uint64) << np.arange(0, 64, CLASS_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
-def keys_of(line: Column, classes: list[int]) -> Column:
+
+def keys_of(line: Column, classes: np.ndarray) -> Column:
     """The set of a lower-cased line, rarest first. The table of classes is a constant of fixed size."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(map(str, packed(classes)))), ",").cast("array<bigint>")
     hashes = F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    at = lambda h: F.get(table, h.bitwiseAND(SLOTS - 1).cast("int"))
+    right = lambda x, by: F.call_function("shiftrightunsigned", x, by)
+    at = lambda h: right(F.get(table, F.shiftright(h.bitwiseAND(SLOTS - 1), 4).cast("int")), F.shiftleft(h.bitwiseAND(PER_LONG - 1).cast("int"), 2)).bitwiseAND((1 << CLASS_BITS) - 1)
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(at(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
 
 
-def parities(keys: Column) -> Column:
-    """64 bits, each the parity of how many keys fall in its slot."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+def parities(keys: Column, part: int, bits: int, skip: int = 0) -> Column:
+    """64 bits, each the parity of how many keys fall in its slot; of 2 ** ``bits`` such parts, told apart by the bits after the first ``skip``, one."""
+    part_of = lambda k: F.shiftright(k, skip).bitwiseAND((1 << bits) - 1)
+    one = lambda k: (part_of(k) == part).cast("long") if bits > 1 else part_of(k).bitwiseXOR(1 - part)
+    bit = lambda k: F.call_function("shiftleft", one(k), F.shiftright(k, skip + bits).bitwiseAND(63).cast("int"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
@@ -87,13 +103,20 @@ def needed(n: str) -> Column:
     return F.expr(f"({NUM} * {n} + {DEN - 1}) div {DEN}").cast("int")
 
 
+def least_common(n: str, m: str) -> str:
+    """The words that similar sets of n and m have in common at least."""
+    return f"(({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN})"
+
+
+def over(a: str, b: str) -> Column:
+    """By how many bits the parities of rows (n, even, odd) named by two prefixes differ more than similar sets' may: over 0 for no pair."""
+    return F.expr(f"cast(bit_count({a}even ^ {b}even) + bit_count({a}odd ^ {b}odd) - ({a}n + {b}n - 2 * {least_common(a + 'n', b + 'n')}) as int)")
+
+
 def passing(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters of rows (n, pos, parity) named by two prefixes."""
-    need = f"(({NUM} * ({a}n + {b}n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    return F.expr(
-        f"least({a}n, {b}n) * {DEN} >= greatest({a}n, {b}n) * {NUM} AND 1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1) >= {need}"
-        f" AND bit_count({a}parity ^ {b}parity) <= {a}n + {b}n - 2 * {need}"
-    )
+    """Length, positional and bitmap filters of rows (n, pos, even, odd) named by two prefixes."""
+    fits = F.expr(f"least({a}n, {b}n) * {DEN} >= greatest({a}n, {b}n) * {NUM} AND 1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1) >= {least_common(a + 'n', b + 'n')}")
+    return fits & (over(a, b) <= 0)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -102,52 +125,64 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.select(F.struct("doc_id", "text_hash", "line_no").alias("place"), F.lower("line").alias("line")).withColumn("lid", F.xxhash64("line"))
 
 
-def distinct_lines(docs: DataFrame, classes: list[int], least_words: int) -> DataFrame:
-    """Rows (no, lid, place, copies, n, parity, first): distinct lines in order, with the keys that their signatures need."""
+def distinct_lines(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
+    """Rows (no, lid, place, copies, n, even, odd, first): distinct lines in order, with the keys that their signatures need."""
     # An array of one, exploded: what follows reads the keys and can't be pushed below them, which would make them anew.
     made = numbered(docs).select("lid", "place", F.explode_outer(F.array(keys_of(F.col("line"), classes))).alias("keys"))
     sets = made.withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
     wanted = F.when(F.col("n") <= LEAST_WORDS, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.col("n") - needed("n") + 1))
-    rows = sets.select("lid", "place", "n", parities(F.col("keys")).alias("parity"), wanted.alias("first"))
-    once = rows.groupBy("lid").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first(F.struct("n", "parity", "first")).alias("set"))
+    rows = sets.select("lid", "place", "n", parities(F.col("keys"), 0, 1).alias("even"), parities(F.col("keys"), 1, 1).alias("odd"), wanted.alias("first"))
+    once = rows.groupBy("lid").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first(F.struct("n", "even", "odd", "first")).alias("set"))
     flat = once.select("lid", "place", "copies", "set.*")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(f"place.{c}").asc_nulls_first() for c in ("doc_id", "text_hash", "line_no")]
     return flat.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("no"), "*")
 
 
-def prefix_words(lines: DataFrame) -> DataFrame:
-    """Rows (key, part, no, n, pos, parity) of prefix words; ``part`` is -1 but for words whose lists are dealt."""
+def prefix_words(lines: DataFrame, least: int) -> DataFrame:
+    """Rows (key, part, no, n, pos, even, odd) of prefix words; ``part`` is -1 but for words whose lists are dealt. ``least``: what class 0 stands for."""
     prefix = F.slice("first", F.lit(1), F.col("n") - needed("n") + 1)
-    rows = lines.filter(F.col("n") >= LEAST_WORDS).select("no", "n", "parity", F.posexplode_outer(prefix).alias("pos", "key"))
-    level = F.shiftright("key", 58).cast("int")
+    rows = lines.filter(F.col("n") >= LEAST_WORDS).select("no", "n", "even", "odd", F.posexplode_outer(prefix).alias("pos", "key"))
+    level = F.shiftright("key", 58).cast("int") + least
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), level - (SALT_FROM - 1))
     part = F.when(level >= SALT_FROM, F.pmod(F.col("no"), parts)).otherwise(F.lit(-1).cast("long"))
-    return rows.select("key", part.alias("part"), "no", "n", "pos", "parity")
+    return rows.select("key", part.alias("part"), "no", "n", "pos", "even", "odd")
 
 
 def with_heads(words: DataFrame) -> DataFrame:
-    """``words`` and ``head``, the earliest line of their list or part of one where it may match."""
+    """``words`` and ``head``, the earliest line of their list or part of one where it may match, with ``over`` of the two."""
     along = Window.partitionBy("key", "part")
-    rows = words.withColumn("h", F.min(F.struct("no", "n", "pos", "parity")).over(along))
-    return rows.withColumn("head", F.when((F.col("h.no") < F.col("no")) & passing("", "h."), F.col("h.no"))).drop("h")
+    rows = words.withColumn("h", F.min(F.struct("no", "n", "pos", "even", "odd")).over(along))
+    return rows.withColumn("head", F.when((F.col("h.no") < F.col("no")) & passing("", "h."), F.struct(F.col("h.no").alias("no"), over("", "h.").alias("over")))).drop("h")
 
 
 def pairs_within(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Distinct (no, earlier) that share a word and pass the filters."""
-    a, b = (df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("no", "n", "pos", "parity")]) for df, p in ((later, "a"), (earlier, "b")))
-    return a.join(b, "key").filter(F.col("b_no") < F.col("a_no")).filter(passing("a_", "b_")).select(F.col("a_no").alias("no"), F.col("b_no").alias("earlier")).distinct()
+    """Distinct (no, earlier, over) that share a word and pass the filters."""
+    a, b = (df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("no", "n", "pos", "even", "odd")]) for df, p in ((later, "a"), (earlier, "b")))
+    found = a.join(b, "key").filter(F.col("b_no") < F.col("a_no")).filter(passing("a_", "b_"))
+    return found.select(F.col("a_no").alias("no"), F.col("b_no").alias("earlier"), over("a_", "b_").alias("over")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, root: str, name: str) -> DataFrame:
-    """Of the pairs (no, earlier) those that are similar, as distinct no."""
+def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, root: str, name: str, *, rough: bool = False) -> DataFrame:
+    """Of the pairs (no, earlier) those that are similar, as distinct no. Where many pairs share a line, ``rough`` holds 256 parities, which are a few
+    bytes, against each other before the sets are brought to the pairs that are left."""
     ids = pairs.select(F.explode(F.array("no", "earlier")).alias("no")).distinct()
     keys = stored(sets_again(docs, ids.join(lines.select("no", "place"), "no"), root, name), f"{name}-keys", root)
+    pairs = pairs.select("no", "earlier")
+    if rough:
+        sig = keys.select("no", F.size("keys").alias("n"), *[parities(F.col("keys"), k, 2, 20).alias(f"p{k}") for k in range(4)])
+        sig = stored(sig, f"{name}-sig", root)
+        a, b = (sig.select(F.col("no").alias(no), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "p0", "p1", "p2", "p3")]) for no, p in (("no", "a"), ("earlier", "b")))
+        differ = " + ".join(f"bit_count(a_p{k} ^ b_p{k})" for k in range(4))
+        close = pairs.join(b, "earlier").join(a, "no").filter(F.expr(f"{differ} <= a_n + b_n - 2 * {least_common('a_n', 'b_n')}"))
+        pairs = stored(close.select("no", "earlier"), f"{name}-close", root)
     mine, theirs = keys.select("no", F.col("keys").alias("mine")), keys.select(F.col("no").alias("earlier"), F.col("keys").alias("theirs"))
     both = pairs.join(theirs, "earlier").join(mine, "no")
     common = F.size(F.array_intersect("mine", "theirs"))
     similar = both.filter(common * DEN >= (F.size("mine") + F.size("theirs") - common) * NUM)
-    return stored(similar.select("no").distinct(), f"{name}-matched", root)
+    out = stored(similar.select("no").distinct(), f"{name}-matched", root)
+    discard(lines.sparkSession, root, f"{name}-keys", f"{name}-wanted", f"{name}-sig", f"{name}-close")
+    return out
 
 
 def sets_again(docs: DataFrame, lines: DataFrame, root: str, name: str) -> DataFrame:
@@ -175,28 +210,28 @@ def later_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame
     least_words = max(1, least_words)
     spark = docs.sparkSession
     root = scratch_dir(spark)
-    lines = stored(distinct_lines(docs, rarity_classes(docs), least_words), "lines", root)
-    words = prefix_words(lines)
+    classes, least = rarity_classes(docs)
+    lines = stored(distinct_lines(docs, classes, least_words), "lines", root)
+    words = prefix_words(lines, least)
     counted = words.filter("part < 0").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL)
     many = checked_broadcast(stored(counted.select("key"), "many", root))
     short = words.filter("part < 0").join(many, "key", "left_anti")
     long = stored(with_heads(words.filter("part < 0").join(many, "key", "left_semi").unionByName(words.filter("part >= 0"))), "long", root)
-    with_head = long.filter("head is not null").select("no", F.col("head").alias("earlier"))
+    with_head = long.filter("head is not null").select("no", F.col("head.no").alias("earlier"), F.col("head.over").alias("over"))
     pairs = stored(pairs_within(short, short).unionByName(with_head).distinct(), "pairs", root)
-    # Any one similar line decides: each line is held against its earliest candidate, the unmatched ones then against the others.
-    earliest = stored(pairs.groupBy("no").agg(F.min("earlier").alias("earlier")), "earliest", root)
-    matched = verified(earliest, docs, lines, root, "first")
-    discard(spark, root, "first-keys", "first-wanted")
-    others = stored(pairs.join(matched, "no", "left_anti").join(earliest, ["no", "earlier"], "left_anti"), "others", root)
+    # Any one similar line decides: each line is held against its likeliest candidate, the unmatched ones then against the others.
+    likeliest = stored(pairs.groupBy("no").agg(F.min(F.struct("over", "earlier")).alias("b")).select("no", "b.earlier"), "likeliest", root)
+    matched = verified(likeliest, docs, lines, root, "first")
+    others = stored(pairs.join(matched, "no", "left_anti").join(likeliest, ["no", "earlier"], "left_anti"), "others", root)
     if not others.isEmpty():
-        matched = stored(matched.unionByName(verified(others, docs, lines, root, "second")), "matched", root)
-        discard(spark, root, "second-keys", "second-wanted")
+        matched = stored(matched.unionByName(verified(others, docs, lines, root, "second", rough=True)), "matched", root)
+    discard(spark, root, "others", "likeliest")
     if not long.isEmpty():
         left = long.join(matched, "no", "left_anti")
         more = stored(pairs_within(left, long).join(pairs, ["no", "earlier"], "left_anti"), "more", root)
-        discard(spark, root, "long")
+        discard(spark, root, "long", "pairs")
         if not more.isEmpty():
-            matched = matched.unionByName(verified(more, docs, lines, root, "more"))
+            matched = matched.unionByName(verified(more, docs, lines, root, "more", rough=True))
     if least_words < LEAST_WORDS:
         matched = matched.unionByName(stored(later_short(lines), "matched-short", root))
     gone = lines.join(matched.distinct().withColumn("gone", F.lit(True)), "no", "left").filter("gone or copies > 1")

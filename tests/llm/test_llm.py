@@ -450,6 +450,32 @@ def test_line_dedup_short(spark, sf):
         assert lost == {i: len(x) for i, x in want.items()}
 
 
+def test_line_dedup_spares_pairs(spark, monkeypatch):
+    """Copies of one line with edits of their own, two by two under the similarity: few of their pairs reach the sets, and with all lists long too."""
+    rng = random.Random(3)
+    base = [f"common{i}" for i in range(36)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(36), 4):
+            words[k] = f"own{i}x{k}"
+        docs.append((i, " ".join(words)))
+    docs += [(60, " ".join(base)), (61, " ".join([*base[:35], "near"])), (62, " ".join(base[:33]))]
+    counts, real = [], line_dedup.verified
+
+    def counted(pairs, *args, **kwargs):
+        counts.append(pairs.count())
+        return real(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for small in (line_dedup.SMALL, 4):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        counts.clear()
+        assert {r.doc_id: r.removed for r in line_dedup.later_lines(df, least_words=1).collect()} == brute_all_lines(docs)
+        assert sum(counts) < 150, counts
+
+
 def test_line_dedup_odd(spark):
     got = {(r["doc"].doc_id, r.kept_text) for r in line_dedup.dedup(odd(spark)).collect()}
     assert (1, None) in got and (2, "") in got and (5, "") in got and (0, "a b c d e f") in got
