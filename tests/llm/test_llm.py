@@ -535,6 +535,25 @@ def test_search_pruned(monkeypatch):
             assert 0 < shard.scored < 0.1 * 6 * 3000  # most documents are never scored whole
 
 
+def test_search_together(monkeypatch):
+    """Queries that share products find what each finds alone, in the same order and with the same scores."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        t = np.unique(rng.zipf(1.3, 40).astype(np.uint64) % np.uint64(900))
+        rows.append((i, t, rng.integers(1, 5, len(t)).astype(np.uint32), 40))
+    often = np.array([x for x, c in sorted(collections.Counter(x for r in rows for x in r[1].tolist()).items()) if c >= 900 / search_index.OFTEN], np.uint64)
+    shard = search_index.Shard.load(b"".join(search_index.Shard.build(rows).dump()), 40.0, often)
+    asked = [(rows[i][1], rng.integers(1, 5000, len(rows[i][1])).astype(float), 0.0) for i in range(0, 900, 30)] + [(np.zeros(0, np.uint64), np.zeros(0), 0.0)]
+    alone = [shard.search(*a[:2], 10) for a in asked]
+    asked = [(t, w, float(s[-1]) * (k % 3) / 2 if len(s) else 0.0) for k, ((t, w, _), (_, s)) in enumerate(zip(asked, alone, strict=True))]
+    assert 0 < sum(len(shard.opening(*a)[-1]) > 900 // search_index.MANY for a in asked) < len(asked)  # both ways are taken
+    for cells in (2_000_000, 4 * 900, 1):
+        monkeypatch.setattr(search_index, "CELLS", cells)
+        for (found, scores), (want, best) in zip(shard.search_all(asked, 10), alone, strict=True):
+            assert found.tolist() == want.tolist() and scores.tolist() == best.tolist()
+
+
 def test_search_odd(spark):
     docs = odd(spark)
     got = search_index.search(docs, docs.select(F.col("doc_id").alias("query_id"), "text").filter("doc_id in (1, 5)"), k=3).collect()
