@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checked_broadcast, held, scratch_dir, stored
+from .shared import checked_broadcast, held, lean, scratch_dir, stored
 from .words import hashed_words, parts_of
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; the similarity as a fraction
@@ -135,7 +135,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if held:
             yield sums(slots)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, range int, size long, blob binary")
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, node long, n int, range int, size long, blob binary")
 
 
 def rarity_of(made: DataFrame) -> np.ndarray:
@@ -162,7 +162,7 @@ def rarity_of(made: DataFrame) -> np.ndarray:
 
     rarity = np.zeros(SLOTS, np.uint8)
     dealt = made.filter("range is not null").select("range", "size", "blob").repartition(RANGES, "range").sortWithinPartitions("range")
-    for r in dealt.mapInArrow(add, "range int, blob binary").collect():
+    for r in dealt.mapInArrow(lean(add), "range int, blob binary").collect():
         rarity[r.range * width : (r.range + 1) * width] = np.frombuffer(r.blob, np.uint8)
     return rarity
 
@@ -188,7 +188,7 @@ def postings(docs: DataFrame, rarity) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "node", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(lean(run), "token long, node long, n int, pos int")
 
 
 def with_hubs(batches):
@@ -276,7 +276,7 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, root: str, na
             made = list(shingle_sets(batch["text"]))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
 
-    return texts.mapInArrow(run, "node long, s binary")
+    return texts.mapInArrow(lean(run), "node long, s binary")
 
 
 def linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, root: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +289,7 @@ def linked(docs: DataFrame, members: DataFrame, pairs: DataFrame, root: str, nam
     many = sets_of(docs, members, pairs.select(F.col("b").alias("node")).distinct(), root, f"{name}-b")
     right = many.select(F.col("node").alias("b"), F.col("s").alias("set_b")).join(checked_broadcast(pairs), "b")
     whole = right.join(few.select(F.col("node").alias("a"), F.col("s").alias("set_a")), "a")
-    return pairs, stored(whole.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), f"{name}-links", root)
+    return pairs, stored(whole.select("a", "b", "set_a", "set_b").mapInArrow(lean(verify), "a long, b long").distinct(), f"{name}-links", root)
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep_hash: bool = False) -> DataFrame:
@@ -303,7 +303,7 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     order = ["token", "pos", "n", "node"]
     dealt = postings(docs, rarity).repartition("token").sortWithinPartitions(*order)
     # Only shingles of two nodes or more go on: the few that documents share.
-    lists = stored(dealt.mapInArrow(with_hubs, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"), "lists", root)
+    lists = stored(dealt.mapInArrow(lean(with_hubs), "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"), "lists", root)
     rarity.unpersist()
     hubs = lists.filter("hub <> node").filter(passing_rows("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     tried, links = linked(docs, members, hubs, root, "first")

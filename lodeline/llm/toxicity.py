@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Calibrated
-from .shared import held, stored
+from .shared import held, lean, stored
+from .words import parts_of
 
 #: Labelled rows that are learned from, at most; entries of the learned lexicon, at most.
 MAX_TRAIN, MAX_LEXICON = 40_000, 20_000
@@ -48,6 +50,8 @@ FEATURES = (
 ).split()
 PREFIXES = (4, 5, 6)
 CACHE = 300_000
+#: Bytes of text that are scored at once.
+PART = 4 << 20
 
 
 def plain(word: str) -> str:
@@ -89,6 +93,7 @@ class Words(dict):
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
+        self.shared: dict[tuple, tuple] = {}  # most words are alike in all of it
 
     def weigh(self, w: str) -> tuple[float, str]:
         found = [(self.lexicon[k], k) for k in ("=" + w, *("^" + w[:n] for n in PREFIXES if len(w) > n)) if k in self.lexicon]
@@ -97,6 +102,7 @@ class Words(dict):
     def __missing__(self, raw: str):
         if len(self) >= CACHE:
             self.clear()
+            self.shared.clear()
         w = plain(raw)
         weight, entry = self.weigh(w)
         insult, masked = w in INSULTS, False
@@ -107,7 +113,8 @@ class Words(dict):
                 insult = u in INSULTS
                 masked = bool(weight or insult)
         odd = not w.isalpha() and any(c.isalpha() for c in w) and any(c in "013457@$!*" for c in w)
-        out = self[raw] = (weight, entry, insult, w in YOU, masked, odd, len(w) > 2 and raw.isupper(), bool(_REPEAT.search(w)))
+        out = (weight, entry, insult, w in YOU, masked, odd, len(w) > 2 and raw.isupper(), bool(_REPEAT.search(w)))
+        out = self[raw] = self.shared.setdefault(out, out)
         return out
 
 
@@ -178,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
         return Model({}, None)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     bound = odds - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    counted = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos >= 4")
+    counted = rows.mapInArrow(lean(count), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos >= 4")
     best = counted.select("term", bound.alias("bound")).filter("bound >= 1.5").orderBy(F.desc("bound"), "term").limit(MAX_LEXICON).collect()
     lexicon = {r.term: float(r.bound) for r in best}
 
@@ -188,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             x = [features(t, known) for t in batch["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["_y"].cast(pa.int32())], names=["x", "y"])
 
-    got = rows.mapInArrow(feature_rows, "x array<double>, y int").toPandas()
+    got = rows.mapInArrow(lean(feature_rows), "x array<double>, y int").toPandas()
     x, y = np.array(got["x"].tolist()), (got["y"].to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))  # equal whatever order the rows came in
     order = order[np.random.default_rng(7).permutation(len(order))]
@@ -200,16 +207,16 @@ def with_score(docs: DataFrame, model: Model, *, text: str = "text", name: str =
     if name in docs.columns:
         raise ValueError(f"column {name} exists")
     shape = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    at = docs.columns.index(text)
+    return docs.mapInArrow(lean(lambda batches: scored(batches, model, text, name)), shape)
 
-    def score(batches):
-        held("toxicity", dict)
-        known = Words(model.lexicon)
-        for batch in batches:
-            found = model.score(batch.column(at).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, shape)
+def scored(batches: Iterator[pa.RecordBatch], model: Model, text: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the score, in parts of few bytes of text: a batch's texts don't stand in memory as Arrow's, Python's and the result's at once."""
+    held("toxicity", dict)
+    known = Words(model.lexicon)
+    for batch in (part for whole in batches for part in parts_of(whole, text, size=PART)):
+        found = model.score(batch[text].to_pylist(), known)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

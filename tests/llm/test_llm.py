@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import boosting, chat, components, fingerprints, jaccard_join, licenses, line_dedup, mixing, pieces, rans, registry, search_index, token_files, toxicity
+from lodeline.llm import boosting, chat, components, fingerprints, jaccard_join, licenses, line_dedup, mixing, pieces, rans, registry, search_index, shared, token_files, toxicity
 
 ODD = [(0, "a b c d e f"), (1, None), (2, ""), (3, "  \t\n"), (4, "one"), (5, "A B c d E f"), (5, "A B c d E f"), (None, "x y z w v u"), (7, "wörter " * 3000), (8, "日本 \n\n 語")]
 
@@ -346,6 +346,25 @@ def test_license_spans(spark):
     assert (starts[2].start, starts[2].coverage) == (1, 1.0) and starts[4].start == 0 and starts[4].coverage == 1 - 3 / (len(w) - 1)
 
 
+def test_lean_gives_back(monkeypatch):
+    import gc
+
+    given, usual = [], gc.get_threshold()
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(gc.get_threshold()))
+
+    def fails(batches):
+        assert gc.get_threshold()[0] > usual[0]
+        yield next(batches)
+        raise ValueError
+
+    assert list(shared.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    with pytest.raises(ValueError):
+        list(shared.lean(fails)(iter([1])))
+    assert given == [usual, usual] and gc.get_threshold() == usual  # after a failure too
+    monkeypatch.setattr(shared, "_held", {"a": 1})
+    assert shared.held("b", lambda: len(given)) == 3 and shared.held("b", dict) == 3 and len(given) == 3  # another operator's words are given back before
+
+
 # --- 7 toxicity
 
 
@@ -374,6 +393,18 @@ def test_toxicity_odd(spark):
     assert toxicity.features("m0r0n", words)[toxicity.FEATURES.index("obfuscated")] == 1
 
 
+def test_toxicity_parts():
+    texts = [None, "", *(f"you m0r0n number{i} " * 40_000 for i in range(9))]
+    model, batch = toxicity.Model({}, None), pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "body": texts, "more": ["x"] * len(texts)})
+    parts = list(toxicity.scored(iter([batch.slice(0, 0), batch]), model, "body", "s"))
+    assert len(parts) > 1 and all(p.num_rows == 1 or sum(map(len, filter(None, p["body"].to_pylist()))) <= toxicity.PART for p in parts)
+    whole = pa.Table.from_batches(parts)
+    assert whole.drop(["s"]).to_pylist() == batch.to_pylist() and whole["s"].to_pylist() == model.score(texts, toxicity.Words({})).tolist()
+    words = toxicity.Words({})
+    assert words["one"] is words["two"]  # what is alike is kept once
+    assert words["MORON"] != words["moron"]
+
+
 def test_toxicity_sample_is_bounded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
