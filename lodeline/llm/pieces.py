@@ -27,21 +27,31 @@ import hashlib
 import heapq
 import math
 import re
+import struct
 import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held
+from .shared import held, lean
+from .words import parts_of
 
 SPACE = "▁"
 UNIT = 1 << 16
 BEST = 3
+#: Below all scores; the score of what is no piece, which is below that with any score added.
+LOW, NONE = -(1 << 60), -(1 << 61)
 #: Words of a generation, and words whose n best are kept.
 CACHE, MORE = 350_000, 100_000
 LONG = 200
+#: Bytes of text whose new words are learned at once; of those the ones of up to ``ALIKE`` characters, all among the ``COMMON`` that pieces have most,
+#: are searched together, ``TOGETHER`` of one length at a time.
+PART, ALIKE, COMMON, TOGETHER = 2 << 20, 32, 127, 4096
 
 
 class Pieces:
@@ -72,11 +82,36 @@ class Pieces:
             self.text[i] = bytes([b])
         cut = "" if any("\n" in p and len(p) > 1 for p in self.score) else "\n"
         self.word = re.compile(f"{cut}|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" if cut else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p))}
+        #: By character: (score or None, id, tree of the characters that follow or None).
+        self.tree: dict[str, tuple] = {}
+        starts = {p[:k] for p in self.score for k in range(1, len(p))}
+        trees = {"": self.tree} | {p: {} for p in starts}
+        for p in starts | self.score.keys():
+            trees[p[:-1]][p[-1]] = (*self.score.get(p, (None, None)), trees.get(p))
+        self._tabulate(starts)
         self.cache: dict[str, tuple[bytes, int, int]] = {}
         self.old: dict[str, tuple[bytes, int, int]] = {}
         self.more: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
 
+    def _tabulate(self, starts: set[str]) -> None:
+        """The tree as tables for ``learn_many``: number 0 is nowhere, 1 the root, then come the beginnings of longer pieces, then all other pieces."""
+        often = Counter(c for p in self.score for c in p if c in self.score)
+        chars = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
+        self.of_char = np.zeros(1 << 16, np.uint8)  # the last stands for all characters above
+        for k, c in enumerate(chars):
+            self.of_char[min(ord(c), 0xFFFF)] = k + 1
+        self.of_char[0xFFFF] = 0
+        inner = sorted(starts)
+        number = {p: k for k, p in enumerate(["", *inner, *sorted(self.score.keys() - starts)], 1)}
+        self.n_inner = len(inner) + 1
+        self.after = np.zeros((self.n_inner + 1, COMMON + 1), np.int32)
+        self.value, self.id_of = np.full(len(number) + 1, NONE), np.zeros(len(number) + 1, np.uint16)
+        for p, k in number.items():
+            if p and (c := self.of_char[min(ord(p[-1]), 0xFFFF)]):
+                self.after[number[p[:-1]], c] = k
+            if p in self.score:
+                self.value[k], self.id_of[k] = self.score[p]
+
     def edges(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end the pieces that end there: (begin, score, ids)."""
         out: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
@@ -114,49 +149,106 @@ class Pieces:
         return found
 
     def two_best(self, word: str) -> tuple[list[int], int, int]:
-        """(ids of the best segmentation, its score, score of the second or -1 below the best's range) by Viterbi with two scores a place."""
-        get, starts, n, low = self.score.get, self.starts, len(word), -(1 << 60)
+        """(ids of the best segmentation, its score, score of the second or -1 below the best's range) by Viterbi with two scores a place.
+
+        The pieces from a place on are met by a walk down the tree of their characters."""
+        tree, n, low = self.tree, len(word), LOW
         best, second = [low] * (n + 1), [low] * (n + 1)
-        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
+        back: list[tuple[int, int | tuple[int, ...]] | None] = [None] * (n + 1)
         best[0] = 0
         for begin in range(n):
-            first, other = best[begin], second[begin]
-            found = get(word[begin])
-            if found is None:
+            first, other, end = best[begin], second[begin], begin
+            node = tree.get(word[begin])
+            if node is None or node[0] is None:
                 raw = word[begin].encode("utf-8", "surrogatepass")
-                found = (self.fallback * len(raw), tuple(self.bytes[b] for b in raw))
-            end = begin + 1
-            while True:
-                if found is not None:
-                    s, ids = found
+                node = (self.fallback * len(raw), tuple(self.bytes[b] for b in raw), node and node[2])
+            while node is not None:
+                end += 1
+                s, ids, after = node
+                if s is not None:
                     x = first + s
                     if x > best[end]:
-                        second[end] = max(best[end], other + s)
+                        y = best[end]
+                        second[end] = y if y > other + s else other + s
                         best[end], back[end] = x, (begin, ids)
                     elif x > second[end]:
                         second[end] = x
-                if end >= n or word[begin:end] not in starts:
+                if after is None or end == n:
                     break
-                end += 1
-                found = get(word[begin:end])
+                node = after.get(word[end])
         ids, at = [], n
         while at:
             at, own = back[at]
             ids.append(own)
-        return [i for own in reversed(ids) for i in (own if isinstance(own, tuple) else (own,))], best[n], second[n]
+        ids.reverse()
+        if tuple in map(type, ids):
+            ids = [i for own in ids for i in (own if isinstance(own, tuple) else (own,))]
+        return ids, best[n], second[n]
 
     def learn(self, word: str) -> tuple[bytes, int, int]:
         """(ids, best score, gap to the second best or -1) of a word. Words met lately are kept in two generations."""
         out = self.old.get(word)
         if out is None:
             ids, score, second = self.two_best(word)
-            out = (np.array(ids, "<u2").tobytes(), score, score - second if second > -(1 << 59) else -1)
+            out = (struct.pack(f"<{len(ids)}H", *ids), score, score - second if second > LOW // 2 else -1)
         if len(word) <= LONG:
             if len(self.cache) >= CACHE:
                 self.old, self.cache = self.cache, {}
             self.cache[word] = out
         return out
 
+    def learn_many(self, words: set[str]) -> None:
+        """``learn`` for all of ``words`` that are not remembered: by the same search, a step of which is made for many words of one length at once."""
+        new = words.difference(self.cache)
+        new.difference_update(self.old)
+        if len(self.cache) + len(new) > CACHE:
+            self.old, self.cache = self.cache, {}
+        by_length: dict[int, list[str]] = {}
+        for w in new:
+            by_length.setdefault(len(w), []).append(w)
+        for n, own in by_length.items():
+            if n > ALIKE:
+                continue  # met one by one
+            for k in range(0, len(own), TOGETHER):
+                part = own[k : k + TOGETHER]
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                codes = self.of_char[np.minimum(codes, 0xFFFF)]
+                known = codes.all(axis=1)
+                if known.any():
+                    self._together([w for w, x in zip(part, known.tolist(), strict=True) if x], codes[known].T.astype(np.intp))
+
+    def _together(self, words: list[str], codes: np.ndarray) -> None:
+        """``two_best`` of words of one length, given their characters' numbers, a row for each place."""
+        n, many = codes.shape
+        best, second = np.full((n + 1, many), LOW), np.full((n + 1, many), LOW)
+        back, piece = np.zeros((n + 1, many), np.int8), np.zeros((n + 1, many), np.uint16)
+        best[0] = 0
+        for begin in range(n):
+            at, node = slice(None), self.after[1][codes[begin]]
+            for end in range(begin + 1, n + 1):
+                s = self.value[node]
+                x, y, z = best[begin, at] + s, best[end, at], second[end, at]
+                better = x > y
+                second[end, at] = np.where(better, np.maximum(y, second[begin, at] + s), np.maximum(x, z))
+                best[end, at] = np.where(better, x, y)
+                back[end, at] = np.where(better, begin, back[end, at])
+                piece[end, at] = np.where(better, self.id_of[node], piece[end, at])
+                if end == n:
+                    break
+                node = self.after[np.where(node <= self.n_inner, node, 0), codes[end, at]]
+                if not (on := np.flatnonzero(node)).size:
+                    break
+                at, node = on if isinstance(at, slice) else at[on], node[on]
+        ids, length, at, all_ = np.zeros((many, n), "<u2"), np.zeros(many, np.intp), np.full(many, n), np.arange(many)
+        while all_.size:
+            length[all_] += 1
+            ids[all_, n - length[all_]] = piece[at, all_]
+            at = back[at, all_]
+            all_, at = all_[at > 0], at[at > 0]
+        raw, ends, gaps = ids.tobytes(), 2 * n * np.arange(1, many + 1), np.where(second[n] > LOW // 2, best[n] - second[n], -1)
+        for w, begin, end, score, gap in zip(words, (ends - 2 * length).tolist(), ends.tolist(), best[n].tolist(), gaps.tolist(), strict=True):
+            self.cache[w] = (raw[begin:end], score, gap)
+
     @classmethod
     def of(cls, path: str) -> Pieces:
         """This process's own; Spark's Python workers serve many tasks."""
@@ -178,14 +270,43 @@ class Pieces:
             return self._with_marks(text, n)
         return self._chain(self.words(text), n)
 
+    def segmentations_of(self, texts: list[str | None], n: int = BEST) -> Iterator[list[tuple[int, bytes]]]:
+        """``segmentations`` of each text. Each distinct word of theirs is looked up once, and what stands in all places is gathered at once."""
+        words = [self.words(t) if t and SPACE not in t else None for t in texts]
+        flat = list(chain.from_iterable(filter(None, words)))
+        number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        infos = self._infos(number)
+        codes = np.fromiter(map(number.__getitem__, flat), np.intp, len(flat))
+        many = np.fromiter((len(x[0]) // 2 for x in infos), np.intp, len(infos))
+        begin, own = np.cumsum(many) - many, many[codes]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join([x[0] for x in infos]), "<u2")[np.repeat(begin[codes] - ends + own, own) + np.arange(own.sum())]
+        bounds = np.concatenate([[0], ends])
+        sums = np.concatenate([[0], np.cumsum(np.array([x[1] for x in infos], np.int64)[codes])])
+        gaps, at = np.array([x[2] for x in infos], np.int64)[codes], 0
+        for t, mine in zip(texts, words, strict=True):
+            if mine is None:
+                yield self.segmentations(t, n)
+                continue
+            end = at + len(mine)
+            yield self._changed(mine, int(sums[end] - sums[at]), ids[bounds[at] : bounds[end]].tobytes(), 2 * (bounds[at : end + 1] - bounds[at]), gaps[at:end], n)
+            at = end
+
+    def _infos(self, words: Iterable[str]) -> list[tuple[bytes, int, int]]:
+        self.learn_many(set(words))
+        cache, learn = self.cache, self.learn
+        return [cache.get(w) or learn(w) for w in words]  # a cache that is full goes on to serve this text
+
     def _chain(self, words: list[str], n: int) -> list[tuple[int, bytes]]:
         cache, learn = self.cache, self.learn
-        infos = [cache.get(w) or learn(w) for w in words]  # a cache that is full goes on to serve this text
-        total = sum([x[1] for x in infos])
-        parts = [x[0] for x in infos]
+        infos = [cache.get(w) or learn(w) for w in words]
+        bounds = np.cumsum([0, *(len(x[0]) for x in infos)])
+        return self._changed(words, sum([x[1] for x in infos]), b"".join([x[0] for x in infos]), bounds, np.array([x[2] for x in infos]), n)
+
+    def _changed(self, words: list[str], total: int, raw: bytes, bounds: np.ndarray, gaps: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+        """The n best of a text, of which the best is given: its score, ids as bytes, where each word's begin, and each word's gap."""
         if n < 2:
-            return [(total, b"".join(parts))]
-        gaps = np.array([x[2] for x in infos])
+            return [(total, raw)]
         open_ = np.flatnonzero(gaps >= 0)
         # A text's n best change at most those words whose gaps are among the n - 1 least.
         at = open_[np.argsort(gaps[open_], kind="stable")[: n - 1]].tolist()
@@ -196,9 +317,9 @@ class Pieces:
         order = sorted(range(len(at)), key=at.__getitem__)
         between, begin = [], 0
         for x in order:
-            between.append(b"".join(parts[begin : at[x]]))
-            begin = at[x] + 1
-        rest = b"".join(parts[begin:])
+            between.append(raw[begin : bounds[at[x]]])
+            begin = bounds[at[x] + 1]
+        rest = raw[begin:]
         return [(total - loss, b"".join([y for x, same in zip(order, between, strict=True) for y in (same, others[x][path[x]][1])]) + rest) for loss, path in chosen]
 
     def _alternatives(self, word: str, n: int) -> list[tuple[int, bytes]]:
@@ -235,7 +356,7 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the space in front."""
         table = self.text
-        text = b"".join([table[i] for i in np.frombuffer(ids, "<u2").tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -249,10 +370,9 @@ def encode_documents(docs: DataFrame, model: str, *, text: str = "text", doc_id:
 
     def run(batches):
         pieces = Pieces.of(model)
-        for batch in batches:
-            rows = []
-            for t in batch["text"].to_pylist():
-                found = pieces.segmentations(t, best)
+        for batch in (part for whole in batches for part in parts_of(whole, size=PART)):
+            rows, texts = [], batch["text"].to_pylist()
+            for t, found in zip(texts, pieces.segmentations_of(texts, best), strict=True):
                 back = [pieces.decode(ids) for _, ids in found]
                 n, crc, same = [len(ids) // 2 for _, ids in found], [zlib.crc32(ids) for _, ids in found], [b == (t or "") for b in back]
                 rows.append((n[0], crc[0], [s for s, _ in found], hashlib.sha256(back[0].encode("utf-8", "surrogatepass")).hexdigest(), same[0], n, crc, same))
@@ -260,7 +380,7 @@ def encode_documents(docs: DataFrame, model: str, *, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<long>, decoded_sha256 string, round_trip boolean, best_n_pieces array<long>, best_ids_crc32 array<long>, best_round_trips array<boolean>")
+    return rows.mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, scores array<long>, decoded_sha256 string, round_trip boolean, best_n_pieces array<long>, best_ids_crc32 array<long>, best_round_trips array<boolean>")
 
 
 def default_model() -> str:

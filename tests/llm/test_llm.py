@@ -240,6 +240,23 @@ def test_segmentations(spark, sf, model):
         assert all(s == sum(value[i] for i in np.frombuffer(ids, "<u2").tolist()) for s, ids in found)
 
 
+def test_pieces_learned_together(spark, sf, model, monkeypatch):
+    """Words searched together have what each has alone, and texts coded together what each has alone."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["", None, "▁", " a ▁ b ", "日本語 x\n\n", "\ud800 z", "x" * 300, "\0\x7f\uffff\U00010348 a", "   ", "thndr"]
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    one, many = pieces.Pieces(pieces.default_model()), pieces.Pieces(pieces.default_model())
+    words = {w for t in texts for w in one.words(t or "")}
+    many.learn_many(words)
+    assert len(many.cache) > 0.9 * len(words)
+    assert all(got == one.learn(w) for w, got in many.cache.items())
+    for n in (1, 3):
+        for cache in (pieces.CACHE, 100):
+            monkeypatch.setattr(pieces, "CACHE", cache)
+            assert list(pieces.Pieces(pieces.default_model()).segmentations_of(texts, n)) == [one.segmentations(t, n) for t in texts]
+    assert list(one.segmentations_of([], 3)) == [] and list(one.segmentations_of([None, ""], 3)) == [[(0, b"")]] * 2
+
+
 # --- 5 token files
 
 
