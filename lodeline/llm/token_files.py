@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import held, scratch_dir, stored
+from .shared import held, lean, scratch_dir, stored
 from .words import coded_words, parts_of, strings_of
 
 END_ID = 2
@@ -76,13 +76,17 @@ class WordIds(dict):
         if len(self) + len(words) > CACHE:
             self.old = dict(self)
             self.clear()
-        for w in words.intersection(self.old):
-            self[w] = self.old[w]
         # A Latin word of letters alone reads as in lower case, and a point or comma after it is a token of its own.
         simple: dict[str, tuple[str, bytes]] = {}
-        for w in words.difference(self):
-            base, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in self.marks else (w, b"")
-            simple[w] = (base.lower(), mark) if base.isalpha() and max(base) < "\u0250" else (w, b"")
+        old, marks = self.old, self.marks
+        for w in words:  # set operations would pass over all words that are remembered
+            if w in self:
+                continue
+            if (ids := old.get(w)) is not None:
+                self[w] = ids
+                continue
+            base, mark = (w[:-1], marks[w[-1]]) if w[-1] in marks else (w, b"")
+            simple[w] = (base.lower(), mark) if base.isalpha() and (base.isascii() or max(base) < "\u0250") else (w, b"")
         bases = {b for b, _ in simple.values()}
         known = {b: x for b in bases if (x := self.get(b) or self.old.get(b)) is not None}
         self.encode(list(bases.difference(known)), known)
@@ -105,9 +109,10 @@ class WordIds(dict):
         """(ids of all texts, ``end`` after each; how many each has)."""
         codes, offsets, words = coded_words(texts, lower=False)
         strings = strings_of(words)
-        if new := {w for w in strings if w and w not in self}:
-            self.learn({*filter(None, strings)} if len(self) + len(new) > CACHE else new)
-        parts = [self[w] if w else b"" for w in strings]
+        parts = list(map(self.get, strings))
+        if new := {w for w, x in zip(strings, parts, strict=True) if x is None and w}:
+            self.learn(new)
+        parts = [x if x is not None else self[w] if w else b"" for w, x in zip(strings, parts, strict=True)]
         parts.append(end)
         codes = np.insert(codes, offsets[1:], len(words))
         length = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
@@ -267,7 +272,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, *, end_id: int = EN
         yield pa.RecordBatch.from_pydict({"file": [name], "n_ids": [totals["n_ids"]], "n_docs": [totals["n_docs"]], "id": pa.array([None], pa.int32()), "n": pa.array([None], pa.int64())})
         yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none, none, pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["file", "n_ids", "n_docs", "id", "n"])
 
-    made = stored(dealt.mapInArrow(tokenise, "file string, n_ids long, n_docs long, id int, n long"), "made", root)
+    made = stored(dealt.mapInArrow(lean(tokenise), "file string, n_ids long, n_docs long, id int, n long"), "made", root)
     counts = np.zeros(1 << 16, np.int64)
     for r in made.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
         counts[r.id] = r.n
@@ -285,7 +290,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, *, end_id: int = EN
 
     if rows:
         names = spark.createDataFrame([(k, n) for k, (n, *_) in enumerate(rows)], "no int, file string").repartition(len(rows), "no").select("file")
-        names.mapInArrow(encode, "file string").count()
+        names.mapInArrow(lean(encode), "file string").count()
         fs, path = place(root)
         for name, *_ in rows:  # what was kept for the second step
             fs.delete_file(f"{path}/{name}.ids")
@@ -313,7 +318,7 @@ def read_tokens(spark: SparkSession, root: str, files: list[tuple[str, int, int]
                     s = slice(k, k + 10_000)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64(), mask=nulls[s]), pa.array(start + begins[s]), pa.array(n[s]), pa.array(crcs[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -271,6 +271,29 @@ def test_rans():
             table.decode(raw[:12] + bytes([raw[12] ^ 1]) + raw[13:])
 
 
+def test_word_ids_pass_over_new_words_only(monkeypatch):
+    import public_tokenizers
+
+    class Listed(dict):
+        def __iter__(self):
+            raise AssertionError("all remembered words were passed over")
+
+    class Words(token_files.WordIds):
+        __iter__ = Listed.__iter__
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, plain = Words(path), token_files.WordIds(path)
+    words.old = Listed({w: x for w, x in plain.items()})
+    for texts in (["one two, Three.", None, ""], ["two four TWO", "one"], [" ñandú,, 日本. ."]):
+        got, want = words.ids(pa.array(texts, pa.string()), b"\2\0"), plain.ids(pa.array(texts, pa.string()), b"\2\0")
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+        words.old = Listed(words.old | {"one": words.get("one")}) if "one" in words else words.old
+    monkeypatch.setattr(token_files, "CACHE", 3)
+    small = token_files.WordIds(path)
+    for texts in (["a b c"], ["d e a"], ["a d f g h i"], ["b e"]):
+        assert small.ids(pa.array(texts), b"\2\0")[0].tolist() == plain.ids(pa.array(texts), b"\2\0")[0].tolist()
+
+
 def test_token_files(spark, sf, monkeypatch, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
