@@ -81,19 +81,30 @@ def packed(classes: np.ndarray) -> list[int]:
     return (classes.reshape(-1, PER_LONG).astype(np.uint64) << np.arange(0, 64, CLASS_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
-def keys_of(line: Column, classes: np.ndarray) -> Column:
-    """The set of a lower-cased line, rarest first. The table of classes is a constant of fixed size."""
+def apart(df: DataFrame, name: str, array: Column) -> DataFrame:
+    """``df`` with an array as column ``name``, exploded from an array of one: what follows reads it and can't be merged with what makes it. Below a
+    lambda function array functions are interpreted and make an object of each number; apart from it they are compiled."""
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(array)).alias(name))
+
+
+def with_keys(df: DataFrame, classes: np.ndarray) -> DataFrame:
+    """``df`` with the set of its lower-cased ``line``, rarest first, as ``keys`` in the line's place. The table of classes is a constant of fixed size."""
     table = F.split(F.lit(",".join(map(str, packed(classes)))), ",").cast("array<bigint>")
-    hashes = F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     right = lambda x, by: F.call_function("shiftrightunsigned", x, by)
-    at = lambda h: right(F.get(table, F.shiftright(h.bitwiseAND(SLOTS - 1), 4).cast("int")), F.shiftleft(h.bitwiseAND(PER_LONG - 1).cast("int"), 2)).bitwiseAND((1 << CLASS_BITS) - 1)
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(at(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
+    # Never null, so that numbers are sorted and not objects.
+    at = lambda h: F.coalesce(F.get(table, F.shiftright(h, 4).bitwiseAND(SLOTS // PER_LONG - 1).cast("int")), F.lit(0).cast("long"))
+    of = lambda h: right(at(h), F.shiftleft(h.bitwiseAND(PER_LONG - 1).cast("int"), 2)).bitwiseAND((1 << CLASS_BITS) - 1)
+    key = lambda h: F.shiftleft(of(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    df = apart(df, "keys", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
+    df = apart(df, "keys", F.array_remove(F.array_distinct("keys"), F.xxhash64(F.lit(""))))
+    df = apart(df, "keys", F.transform("keys", key))
+    return apart(df, "keys", F.sort_array("keys"))
 
 
 def parities(keys: Column, part: int, bits: int, skip: int = 0) -> Column:
     """64 bits, each the parity of how many keys fall in its slot; of 2 ** ``bits`` such parts, told apart by the bits after the first ``skip``, one."""
-    part_of = lambda k: F.shiftright(k, skip).bitwiseAND((1 << bits) - 1)
-    one = lambda k: (part_of(k) == part).cast("long") if bits > 1 else part_of(k).bitwiseXOR(1 - part)
+    part_of = lambda k: (F.shiftright(k, skip) if skip else k).bitwiseAND((1 << bits) - 1)
+    one = lambda k: (part_of(k) == part).cast("long") if bits > 1 else part_of(k) if part else part_of(k).bitwiseXOR(1)
     bit = lambda k: F.call_function("shiftleft", one(k), F.shiftright(k, skip + bits).bitwiseAND(63).cast("int"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
@@ -127,9 +138,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
     """Rows (no, lid, place, copies, n, even, odd, first): distinct lines in order, with the keys that their signatures need."""
-    # An array of one, exploded: what follows reads the keys and can't be pushed below them, which would make them anew.
-    made = numbered(docs).select("lid", "place", F.explode_outer(F.array(keys_of(F.col("line"), classes))).alias("keys"))
-    sets = made.withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
+    sets = with_keys(numbered(docs), classes).withColumn("n", F.size("keys")).filter(F.col("n") >= least_words)
     wanted = F.when(F.col("n") <= LEAST_WORDS, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.col("n") - needed("n") + 1))
     rows = sets.select("lid", "place", "n", parities(F.col("keys"), 0, 1).alias("even"), parities(F.col("keys"), 1, 1).alias("odd"), wanted.alias("first"))
     once = rows.groupBy("lid").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first(F.struct("n", "even", "odd", "first")).alias("set"))
@@ -149,6 +158,12 @@ def prefix_words(lines: DataFrame, least: int) -> DataFrame:
     return rows.select("key", part.alias("part"), "no", "n", "pos", "even", "odd")
 
 
+def may_be_long(least: int) -> Column:
+    """Whether the list of a word that isn't dealt may be longer than ``SMALL``: it is shorter than twice the power of two that its class stands for."""
+    level = F.shiftright("key", 58).cast("int") + least
+    return (F.col("part") < 0) & (F.call_function("shiftleft", F.lit(1).cast("long"), level + 1) - 1 > SMALL)
+
+
 def with_heads(words: DataFrame) -> DataFrame:
     """``words`` and ``head``, the earliest line of their list or part of one where it may match, with ``over`` of the two."""
     along = Window.partitionBy("key", "part")
@@ -192,8 +207,8 @@ def sets_again(docs: DataFrame, lines: DataFrame, root: str, name: str) -> DataF
     texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).withColumn("all", F.split("text", "\n"))
     each = found.select(F.explode_outer(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), F.lower(F.get("all", w["line_no"])).alias("line")))).alias("x"))
-    hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return each.select("x.no", "x.line").select("no", hashes.alias("keys")).dropDuplicates(["no"])
+    hashes = apart(each.select("x.no", "x.line"), "keys", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    return hashes.select("no", F.array_remove(F.array_distinct("keys"), F.xxhash64(F.lit(""))).alias("keys")).dropDuplicates(["no"])
 
 
 def later_short(lines: DataFrame) -> DataFrame:
@@ -213,10 +228,10 @@ def later_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame
     classes, least = rarity_classes(docs)
     lines = stored(distinct_lines(docs, classes, least_words), "lines", root)
     words = prefix_words(lines, least)
-    counted = words.filter("part < 0").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL)
+    counted = words.filter(may_be_long(least)).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL)
     many = checked_broadcast(stored(counted.select("key"), "many", root))
     short = words.filter("part < 0").join(many, "key", "left_anti")
-    long = stored(with_heads(words.filter("part < 0").join(many, "key", "left_semi").unionByName(words.filter("part >= 0"))), "long", root)
+    long = stored(with_heads(words.filter(may_be_long(least)).join(many, "key", "left_semi").unionByName(words.filter("part >= 0"))), "long", root)
     with_head = long.filter("head is not null").select("no", F.col("head.no").alias("earlier"), F.col("head.over").alias("over"))
     pairs = stored(pairs_within(short, short).unionByName(with_head).distinct(), "pairs", root)
     # Any one similar line decides: each line is held against its likeliest candidate, the unmatched ones then against the others.

@@ -547,6 +547,21 @@ def test_line_dedup_spares_pairs(spark, monkeypatch):
         assert sum(counts) < 150, counts
 
 
+def test_line_dedup_spares_cpu(spark):
+    """Array functions over words are not interpreted below a lambda function, keys are sorted as numbers, lists that can't be long are not counted."""
+    df = spark.createDataFrame([(i, f"The the  cat\tsat on w{i} \n" + "x y " * i) for i in range(40)], "doc_id long, text string")
+    classes, least = line_dedup.rarity_classes(df)
+    keys = line_dedup.with_keys(line_dedup.numbered(df), classes)
+    assert not keys.schema["keys"].dataType.containsNull
+    for line in keys._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "lambda" not in line or not any(f in line for f in ("array_distinct", "array_remove", "sort_array"))
+    got = {(r.place.doc_id, r.place.line_no): r["keys"] for r in keys.collect()}
+    assert all(k == sorted(set(k)) for k in got.values()) and {len(got[i, 0]) for i in range(40)} == {5}
+    assert [len(got[i, 1]) for i in range(3)] == [0, 2, 2] and got[0, 0][0] not in got[1, 0]  # its own word is the rarest
+    words = line_dedup.prefix_words(line_dedup.distinct_lines(df, classes, 1), least)
+    assert words.count() and not words.filter(line_dedup.may_be_long(least)).count()
+
+
 def test_line_dedup_odd(spark):
     got = {(r["doc"].doc_id, r.kept_text) for r in line_dedup.dedup(odd(spark)).collect()}
     assert (1, None) in got and (2, "") in got and (5, "") in got and (0, "a b c d e f") in got
