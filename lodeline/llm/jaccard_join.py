@@ -138,7 +138,7 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, text_hash long, node long, n int, range int, size long, blob binary")
 
 
-def rarity_of(made: DataFrame) -> np.ndarray:
+def rarity_of(made: DataFrame, root: str | None = None) -> np.ndarray:
     """For each slot eight times the logarithm of its count, in a byte. Ranges are summed by executors; the driver gets ``SLOTS`` bytes at any size."""
     width = SLOTS // RANGES
 
@@ -160,11 +160,12 @@ def rarity_of(made: DataFrame) -> np.ndarray:
         if at is not None:
             yield out()
 
-    rarity = np.zeros(SLOTS, np.uint8)
+    table = np.zeros(SLOTS, np.uint8)
     dealt = made.filter("range is not null").select("range", "size", "blob").repartition(RANGES, "range").sortWithinPartitions("range")
-    for r in dealt.mapInArrow(lean(add), "range int, blob binary").collect():
-        rarity[r.range * width : (r.range + 1) * width] = np.frombuffer(r.blob, np.uint8)
-    return rarity
+    # Written first and fetched a range at a time, so that the driver's heap never holds them all.
+    for r in stored(dealt.mapInArrow(lean(add), "range int, blob binary"), "rarity", root).toLocalIterator():
+        table[r.range * width : (r.range + 1) * width] = np.frombuffer(r.blob, np.uint8)
+    return table
 
 
 def postings(docs: DataFrame, rarity) -> DataFrame:
@@ -299,12 +300,12 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     made = stored(profile(docs), "profile", root)
     members = made.filter("range is null").select("doc_id", "text_hash", "node", "n")
-    rarity = spark.sparkContext.broadcast(rarity_of(made))
+    rarity = spark.sparkContext.broadcast(rarity_of(made, root))
     order = ["token", "pos", "n", "node"]
     dealt = postings(docs, rarity).repartition("token").sortWithinPartitions(*order)
     # Only shingles of two nodes or more go on: the few that documents share.
     lists = stored(dealt.mapInArrow(lean(with_hubs), "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"), "lists", root)
-    rarity.unpersist()
+    rarity.destroy()
     hubs = lists.filter("hub <> node").filter(passing_rows("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     tried, links = linked(docs, members, hubs, root, "first")
     found = stored(components(links), "found", root)

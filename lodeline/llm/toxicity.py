@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     usable = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("_y")).filter(training_row(F.col("_id")) & F.col("_y").isNotNull())
     # At most max_train rows by an order of their own, so that they may be broadcast at any size.
     sample = usable.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    sample = docs.sparkSession.createDataFrame(sample.toArrow())
+    sample = stored(sample, "sample-ids")
     # One text of each sampled doc_id, the one of least hash: as many rows as the sample has, stored once for three passes.
     found = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(sample), "_id")
     rows = stored(found.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("_y").alias("_y")), "sample")
@@ -195,8 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             x = [features(t, known) for t in batch["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["_y"].cast(pa.int32())], names=["x", "y"])
 
-    got = rows.mapInArrow(lean(feature_rows), "x array<double>, y int").toPandas()
-    x, y = np.array(got["x"].tolist()), (got["y"].to_numpy() > 0).astype(float)
+    got = rows.mapInArrow(lean(feature_rows), "x array<double>, y int").toArrow()
+    x, y = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)), (got["y"].to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))  # equal whatever order the rows came in
     order = order[np.random.default_rng(7).permutation(len(order))]
     return Model(lexicon, Calibrated().fit(x[order], y[order]))

@@ -709,3 +709,31 @@ def test_chat_against_sql(spark, tmp_path):
     want = sorted(con.sql(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.ORACLE})").fetchall(), key=key)
     got = chat.query(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()
     assert sorted(map(tuple, got), key=key) == want
+
+
+def test_driver_gives_back(spark, sf, monkeypatch):
+    """The driver clears its heap as it fills, fetches the shingles' table a range at a time, and learns toxicity without rows as Python objects."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    assert shared.relieve(spark) in (True, False)
+    monkeypatch.setattr(shared, "FILLED", 1 << 40)
+    shared.relieve(spark)
+    for _ in range(4):
+        spark._jvm.java.nio.ByteBuffer.allocate(8 << 20)
+    before = runtime.totalMemory() - runtime.freeMemory()
+    assert shared.relieve(spark) and runtime.totalMemory() - runtime.freeMemory() < before
+    monkeypatch.setattr(shared, "FILLED", 1)
+    assert not shared.relieve(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    made = jaccard_join.profile(docs)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("all at once")
+
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, refused)
+    table = jaccard_join.rarity_of(made)
+    monkeypatch.undo()
+    seen = np.unique(np.concatenate([s for s in jaccard_join.shingle_sets(docs.select("text").toArrow()["text"].combine_chunks())]) & np.uint64(jaccard_join.SLOTS - 1))
+    assert set(np.flatnonzero(table).tolist()) == set(seen.tolist())
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    assert toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).trees is not None
